@@ -1,0 +1,12 @@
+"""Positions on the time line that do not depend on the session time zone."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def seconds(ts: Column | str) -> Column:
+    """Whole seconds of a ``timestamp_ntz`` since 1970-01-01 of its own calendar."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    days = F.unix_date(ts.cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)

@@ -1,6 +1,6 @@
 """All queries. Importing a module registers what it defines."""
 
-from tablewright.plans import build, joins, statements  # noqa: F401
+from tablewright.plans import aggregates, build, joins, statements, windows  # noqa: F401
 from tablewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

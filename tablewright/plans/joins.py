@@ -8,7 +8,7 @@ hot key. No side is broadcast by hint unless its number of rows is fixed by the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.functions.skew import (
     SLICE,
@@ -204,7 +204,7 @@ def as_of_join(t: Tables) -> DataFrame:
     )
     sliced = slice_hot(events, keys, seconds("ts"))
     view = F.when(F.col("event_type") == "view", F.col("ts"))
-    earlier = slice_window(keys).orderBy("ts", "event_id").rowsBetween(-(2**31), -1)
+    earlier = slice_window(keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumn("here", F.max(view).over(earlier))
     before = (
         hot_rows(sliced)

@@ -12,6 +12,7 @@ the table by what the changes select on and a change costs its partitions, not t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -105,18 +106,20 @@ def _commit(
     live: Sequence[tuple[str, int, int]],
     n_affected: int,
 ) -> Commit:
-    row = (
-        version,
-        operation,
-        schema.toDDL(),
-        list(partition_by),
-        sum(n_rows for _, n_rows, _ in live),
-        sum(size for _, _, size in live),
-        n_affected,
-        list(live),
-    )
-    target = f"{_log(root)}/version={version}"
-    spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("errorifexists").json(target)
+    entry = {
+        "version": version,
+        "operation": operation,
+        "schema": schema.toDDL(),
+        "partition_by": list(partition_by),
+        "n_rows": sum(n_rows for _, n_rows, _ in live),
+        "bytes": sum(size for _, _, size in live),
+        "n_affected": n_affected,
+        "folders": [
+            {"folder": folder, "n_rows": n_rows, "bytes": size} for folder, n_rows, size in live
+        ],
+    }
+    line = spark.range(1, numPartitions=1).select(F.lit(json.dumps(entry)).alias("value"))
+    line.write.mode("errorifexists").text(f"{_log(root)}/version={version}")
     return Commit(version, n_affected)
 
 

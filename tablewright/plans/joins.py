@@ -203,7 +203,8 @@ def as_of_join(t: Tables) -> DataFrame:
         "event_id", "user_id", "ts", "event_type"
     )
     sliced = slice_hot(events, keys, seconds("ts"))
-    view = F.when(F.col("event_type") == "view", F.col("ts"))
+    # A NULL user is no user: such rows have no view to find, as in an equality.
+    view = F.when((F.col("event_type") == "view") & F.col("user_id").isNotNull(), F.col("ts"))
     earlier = slice_window(keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumn("here", F.max(view).over(earlier))
     before = (
@@ -299,10 +300,12 @@ def scalar_subquery(t: Tables) -> DataFrame:
     """,
 )
 def exists(t: Tables) -> DataFrame:
+    """The inner keys are made distinct first: a hot one is one row per task in the shuffle."""
     return statement(
         t,
+        "WITH bulk AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49) "
         "SELECT o_orderpriority, COUNT(*) AS n FROM orders "
-        "WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49) "
+        "WHERE EXISTS (SELECT 1 FROM bulk WHERE l_orderkey = o_orderkey) "
         "GROUP BY o_orderpriority",
         "orders",
         "lineitem",

@@ -140,7 +140,7 @@ def anti_join(t: Tables) -> DataFrame:
 def cross_join(t: Tables) -> DataFrame:
     """The other side is a global aggregate, which is one row at any scale."""
     mean = t.customer.agg(F.avg("c_acctbal").alias("mean"))
-    joined = t.customer.crossJoin(mean)
+    joined = t.customer.crossJoin(F.broadcast(mean))
     return joined.select("c_custkey", F.round(F.col("c_acctbal") - F.col("mean"), 4).alias("above_mean"))
 
 

@@ -34,7 +34,7 @@ def test_row_by_row_work_does_not_shuffle(spark, name):
 @pytest.mark.parametrize(
     "name, pushed, columns",
     [
-        ("b01_execute_statement", "LessThanOrEqual(l_shipdate", 7),
+        ("b01_execute_statement", "LessThanOrEqual(l_shipdate", 6),
         ("b15_row_filter", "GreaterThan(c_acctbal,0.0)", 4),
         ("r06_filter_in", "In(o_orderpriority", 2),
         ("p18_exists", "GreaterThan(l_quantity,49.0)", 2),

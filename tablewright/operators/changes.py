@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.operators.mutate import Expression, as_column, holds, quoted
+from tablewright.functions.names import quoted
+from tablewright.operators.mutate import Expression, as_column, holds
 
 
 def as_of(

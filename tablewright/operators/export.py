@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from tablewright.functions.names import quoted
 from tablewright.sources.folders import reads_from
 
 
@@ -23,7 +24,7 @@ def write_parquet(
     if mode == "overwrite" and reads_from(df, path):
         raise ValueError(f"the result reads from {path}, so it cannot replace it")
     if partition_by:
-        df = df.hint("rebalance", *partition_by)
+        df = df.hint("rebalance", *(F.col(quoted(name)) for name in partition_by))
     written = Observation()
     (
         df.observe(written, F.count(F.lit(1)).alias("n_rows"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from tablewright.functions.names import quoted
+
 Expression = Column | str
 
 AFFECTED = "__affected"
@@ -36,7 +38,19 @@ def conform(rows: DataFrame, schema: StructType) -> DataFrame:
     unknown = [name for name in rows.columns if name not in schema.names]
     if unknown:
         raise ValueError(f"columns not in the target: {', '.join(unknown)}")
-    return rows.to(schema)
+    nullable = StructType([StructField(field.name, field.dataType) for field in schema.fields])
+    return rows.to(nullable).withColumns(
+        {
+            field.name: required(F.col(quoted(field.name)), field.name)
+            for field in schema.fields
+            if not field.nullable
+        }
+    )
+
+
+def required(value: Column, name: str) -> Column:
+    """``value``, or an error at run time where it is NULL."""
+    return F.coalesce(value, F.raise_error(F.lit(f"NULL in column {name}, which is NOT NULL")))
 
 
 def flag_updates(
@@ -65,7 +79,10 @@ def flag_updates(
         *(F.when(affected, as_column(e)).alias(new[name]) for name, e in assignments.items()),
     ).to(declared)
     chosen = {
-        name: F.when(F.col(AFFECTED), F.col(new[name])).otherwise(F.col(quoted(name)))
+        name: F.when(
+            F.col(AFFECTED),
+            F.col(new[name]) if df.schema[name].nullable else required(F.col(new[name]), name),
+        ).otherwise(F.col(quoted(name)))
         for name in assignments
     }
     return evaluated.withColumns(chosen).select(*map(quoted, df.columns), AFFECTED)
@@ -81,8 +98,3 @@ def update_rows(
 def delete_rows(df: DataFrame, where: Expression = "true") -> DataFrame:
     """``DELETE FROM df WHERE p``: rows where ``p`` is false or NULL stay."""
     return df.where(~holds(where))
-
-
-def quoted(name: str) -> str:
-    escaped = name.replace("`", "``")
-    return f"`{escaped}`"

@@ -20,13 +20,13 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from tablewright.functions.names import quoted
 from tablewright.operators.export import manifest, write_parquet
 from tablewright.operators.mutate import (
     Expression,
     as_column,
     conform,
     delete_rows,
-    quoted,
     update_rows,
 )
 from tablewright.sources import folders

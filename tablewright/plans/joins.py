@@ -243,28 +243,21 @@ def hint_shuffle_hash(t: Tables) -> DataFrame:
     return _joined(t, "shuffle_hash")
 
 
+FLAGS = "VALUES ('A', 'accepted'), ('N', 'none'), ('R', 'returned')"
+
+
 @query(
     "p16_hint_broadcast",
-    """
-    SELECT o_orderpriority, COUNT(*) AS n, MIN(lowest) AS lowest
-    FROM orders JOIN (SELECT o_orderpriority AS p, MIN(o_totalprice) AS lowest FROM orders
-                      GROUP BY o_orderpriority) ON o_orderpriority = p
-    WHERE o_totalprice < lowest * 10 GROUP BY o_orderpriority
+    f"""
+    SELECT label, COUNT(*) AS n, MAX(l_extendedprice) AS top
+    FROM lineitem JOIN ({FLAGS}) AS f(flag, label) ON l_returnflag = flag GROUP BY label
     """,
 )
 def hint_broadcast(t: Tables) -> DataFrame:
-    """The five least priorities by name are broadcast: a limit bounds the side at any scale."""
-    lowest = (
-        t.orders.groupBy(F.col("o_orderpriority").alias("p"))
-        .agg(F.min("o_totalprice").alias("lowest"))
-        .orderBy("p")
-        .limit(5)
-    )
-    joined = t.orders.join(F.broadcast(lowest), F.col("o_orderpriority") == F.col("p"))
-    cheap = joined.where(F.col("o_totalprice") < F.col("lowest") * 10)
-    return cheap.groupBy("o_orderpriority").agg(
-        n_rows().alias("n"), F.min("lowest").alias("lowest")
-    )
+    """The side that is broadcast is written in the query."""
+    flags = t.spark.sql(f"SELECT * FROM {FLAGS} AS f(flag, label)")
+    joined = t.lineitem.join(F.broadcast(flags), F.col("l_returnflag") == F.col("flag"))
+    return joined.groupBy("label").agg(n_rows().alias("n"), F.max("l_extendedprice").alias("top"))
 
 
 @query(

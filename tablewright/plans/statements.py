@@ -249,10 +249,8 @@ def current_names(t: Tables) -> DataFrame:
     """,
 )
 def current_date(t: Tables) -> DataFrame:
-    past = F.col("o_orderdate").cast("date") <= F.current_date()
-    return t.orders.where(past & F.current_timestamp().isNotNull()).groupBy("o_orderpriority").agg(
-        n_rows().alias("n_past")
-    )
+    past = t.orders.where(F.col("o_orderdate") <= F.current_date())
+    return past.groupBy("o_orderpriority").agg(n_rows().alias("n_past"))
 
 
 @query("r25_three_level_name", "SELECT s_nationkey, COUNT(*) AS n FROM supplier GROUP BY s_nationkey")

@@ -85,13 +85,14 @@ def bucketed(t: Tables) -> DataFrame:
     """
     session = isolated_session(t.spark)
     names = {}
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = t.orders.repartition(buckets, "o_orderkey")
     per_order = t.lineitem.groupBy("l_orderkey").agg(n_rows().alias("n"))
-    for df, key in ((t.orders, "o_orderkey"), (per_order, "l_orderkey")):
+    for df, key in ((orders, "o_orderkey"), (per_order, "l_orderkey")):
         name = names[key] = f"b_{uuid.uuid4().hex}"
         folder = fresh_folder(t.spark, "bucketed")
         (
-            df.repartition(16, key)
-            .write.bucketBy(16, key)
+            df.write.bucketBy(buckets, key)
             .sortBy(key)
             .option("path", folder)
             .saveAsTable(name)

@@ -75,6 +75,17 @@ def test_append(spark, people):
         append_rows(people, spark.sql("SELECT 4 AS id, 'many' AS value"))
 
 
+def test_a_required_column_takes_no_null(spark):
+    target = spark.range(2)
+    assert not target.schema["id"].nullable
+    assert rows(append_rows(target, spark.sql("SELECT CAST('7' AS BIGINT) AS id"))) == [(0,), (1,), (7,)]
+    with pytest.raises(Exception, match="NULL in column id"):
+        append_rows(target, spark.sql("SELECT CAST(NULL AS INT) AS id")).collect()
+    assert rows(update_rows(target, {"id": "id + 5"}, "id = 1")) == [(0,), (6,)]
+    with pytest.raises(Exception, match="NULL in column id"):
+        update_rows(target, {"id": "NULLIF(id, 1)"}).collect()
+
+
 def test_awkward_names(spark):
     df = spark.sql("SELECT 1 AS `a.b`, 2 AS `c``d`")
     assert rows(update_rows(df, {"a.b": "`c``d` + 1"}, "`a.b` = 1")) == [(3, 2)]

@@ -84,6 +84,8 @@ def main() -> None:
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            # Do not record a call site for every column expression that is built.
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
         master=f"local[{CPUS}]",
     )

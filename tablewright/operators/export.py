@@ -10,6 +10,17 @@ from pyspark.sql.types import StructType
 from tablewright.functions.names import quoted
 from tablewright.sources.folders import reads_from
 
+# Fixed values of the text that describes an export.
+EXPORT_TEXT = """Results written to Parquet successfully!
+
+Output Directory: {path}
+Row Count: {n_rows}
+Parquet Files: {n_files}
+
+Schema:
+{tree}
+"""
+
 
 def write_parquet(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite"
@@ -77,15 +88,6 @@ def summarize(files: DataFrame) -> DataFrame:
 def describe(path: str, files: DataFrame, schema: StructType) -> str:
     """The outcome of an export as text; the file list itself stays a DataFrame."""
     total = summarize(files).first()
-    return "\n".join(
-        [
-            "Results written to Parquet successfully!",
-            "",
-            f"Output Directory: {path}",
-            f"Row Count: {total.n_rows}",
-            f"Parquet Files: {total.n_files}",
-            "",
-            "Schema:",
-            schema.treeString(),
-        ]
+    return EXPORT_TEXT.format(
+        path=path, n_rows=total.n_rows, n_files=total.n_files, tree=schema.treeString()
     )

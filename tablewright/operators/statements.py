@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.operators.export import describe, export_parquet
 from tablewright.operators.render import grid
 
-COMMAND_TEXT = "Command executed successfully"  # fixed value
+# Fixed values of the texts.
+COMMAND_TEXT = "Command executed successfully"
+EMPTY_STATEMENT_TEXT = "SQL query is required"
+EXPORT_FAILED_TEXT = "Failed to write Parquet: {error}"
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,8 @@ ERRORS = (PySparkException, Py4JError, ValueError)
 def run(spark: SparkSession, sql: str) -> StatementResult:
     """Analyse one statement; commands take effect here, rows stay lazy."""
     if not sql or not sql.strip():
-        return StatementResult(sql, "error", error=Failure("EMPTY_STATEMENT", "SQL query is required"))
+        failure = Failure("EMPTY_STATEMENT", EMPTY_STATEMENT_TEXT)
+        return StatementResult(sql, "error", error=failure)
     try:
         df = spark.sql(sql)
         if len(df.schema) == 0:
@@ -87,4 +91,6 @@ def execute(spark: SparkSession, sql: str, output_path: str | None = None) -> Ou
         return Outcome(True, describe(output_path, files, result.df.schema))
     except ERRORS as error:
         failure = str(Failure.of(error))
-        return Outcome(False, "", failure if output_path is None else f"Failed to write Parquet: {failure}")
+        if output_path is not None:
+            failure = EXPORT_FAILED_TEXT.format(error=failure)
+        return Outcome(False, "", failure)

@@ -147,13 +147,18 @@ def percentiles(t: Tables) -> DataFrame:
     """,
 )
 def approx_count_distinct(t: Tables) -> DataFrame:
-    """The estimate itself is Spark's own; compared is that it is within a tenth of the count."""
-    counted = t.orders.groupBy("o_orderstatus").agg(
-        F.count_distinct("o_custkey").alias("exact"),
-        F.approx_count_distinct("o_custkey", 0.02).alias("estimate"),
+    """The estimate itself is Spark's own; compared is that it is within a tenth of the count.
+
+    Two aggregates: in one, the exact count would split the sketch by customer.
+    """
+    exact = t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("exact"))
+    estimates = t.orders.groupBy("o_orderstatus").agg(
+        F.approx_count_distinct("o_custkey", 0.02).alias("estimate")
     )
     close = F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 0.1
-    return counted.select("o_orderstatus", "exact", close.alias("close"))
+    return exact.join(estimates, "o_orderstatus").select(
+        "o_orderstatus", "exact", close.alias("close")
+    )
 
 
 @query(

@@ -120,6 +120,8 @@ def _commit(
     }
     line = spark.range(1, numPartitions=1).select(F.lit(json.dumps(entry)).alias("value"))
     line.write.mode("errorifexists").text(f"{_log(root)}/version={version}")
+    if version not in versions(spark, root):
+        raise RuntimeError("the commit left no _SUCCESS file; let Spark mark finished jobs")
     return Commit(version, n_affected)
 
 

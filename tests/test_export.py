@@ -54,11 +54,11 @@ def test_duplicate_names_are_refused(spark, folder):
         export_parquet(spark.sql("SELECT 1 AS a, 2 AS a"), f"{folder}/out")
 
 
-@pytest.mark.parametrize("target", ["in", ""])
+@pytest.mark.parametrize("target", ["{}/in", "{}/in/", "{}", "file:{}/in", "file://{}/in"])
 def test_a_result_does_not_replace_what_it_reads(spark, folder, target):
     spark.range(3).write.parquet(f"{folder}/in")
     with pytest.raises(ValueError, match="reads from"):
-        export_parquet(spark.read.parquet(f"{folder}/in").where("id > 0"), f"{folder}/{target}")
+        export_parquet(spark.read.parquet(f"{folder}/in").where("id > 0"), target.format(folder))
     assert spark.read.parquet(f"{folder}/in").count() == 3
 
 

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tablewright.operators import versions
@@ -149,3 +150,31 @@ def test_predicates_reach_the_scan(spark, root):
     assert "PushedFilters: [IsNotNull(v), GreaterThan(v,0.0)]" in text
     assert "ReadSchema: struct<id:int,v:double>" in text and "(p#" in text.split("PartitionFilters")[1]
     assert plan.agg(F.count("id")).first()[0] == 9
+
+
+STEP = st.one_of(
+    st.tuples(st.just("append"), st.lists(st.tuples(st.integers(0, 9), st.sampled_from("ab")), max_size=4)),
+    st.tuples(st.just("update"), st.integers(0, 9)),
+    st.tuples(st.just("delete"), st.integers(0, 9)),
+)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(STEP, min_size=2, max_size=4))
+def test_any_sequence_of_commits(spark, tmp_path_factory, steps):
+    root = str(tmp_path_factory.mktemp("any"))
+    versions.create(spark, root, "id INT, p STRING", ["p"])
+    state, states = [], {0: []}
+    for kind, what in steps:
+        if kind == "append":
+            commit = versions.append(spark, root, users(spark, what, "id INT, p STRING"))
+            state = state + what
+        elif kind == "update":
+            commit = versions.update(spark, root, {"id": "id + 1", "p": "'b'"}, f"id > {what}")
+            state = [(i + 1, "b") if i > what else (i, p) for i, p in state]
+        else:
+            commit = versions.delete(spark, root, f"id < {what}")
+            state = [(i, p) for i, p in state if i >= what]
+        states[commit.version] = state
+    for version, expected in states.items():
+        assert rows(versions.read(spark, root, version)) == sorted(expected, key=repr)

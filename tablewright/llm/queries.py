@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import chat, line_dedup, mixing, quality
+from tablewright.llm import (
+    chat,
+    html_text,
+    language_id,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    suffix_tree,
+    vector_dedup,
+)
 from tablewright.llm.common import n_words
 from tablewright.sources.tables import table
 
@@ -22,6 +32,33 @@ def _query(function):
     return function
 
 
+@_query
+def op1_suffix_tree_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Scores of all documents by a tree learned from those that are not held out."""
+    documents = table(spark, directory, "documents")
+    held_out = suffix_tree.held_out(F.col("doc_id"))
+    scores = suffix_tree.score_texts(documents, documents.where(~held_out))
+    return scores.select(
+        F.col("_id").alias("doc_id"),
+        suffix_tree.held_out(F.col("_id")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+@_query
+def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, directory, "documents")).select(
+        F.col("_id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
 @_query
 def op3_mixing(spark: SparkSession, directory: str) -> DataFrame:
     """How much of every document the mix takes."""
@@ -75,6 +112,26 @@ FROM p
 """
 
 
+@_query
+def op4_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    documents = table(spark, directory, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(documents.where(~held_out))
+    return language_id.identify(documents.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@_query
+def op5_html_text(spark: SparkSession, directory: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, directory, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 @_query
 def op6_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
     """Digests of the formatted conversations, read back from what was written."""
@@ -193,6 +250,17 @@ FROM m
 """
 
 
+@_query
+def op9_vector_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_dedup.near_vectors(table(spark, directory, "embeddings")).select(
+        F.col("_id").alias("vec_id"),
+        "n_links",
+        "component_id",
+        F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    )
+
+
 @_query
 def op10_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Every document without the lines that ten documents or more share, as a digest."""

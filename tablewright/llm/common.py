@@ -100,4 +100,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             break
         before = now
         edges = stage(_small_star(_large_star(edges).distinct()).distinct(), label)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+        edges.select("v", "v").distinct()
+    )

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.common import stage
+from tablewright.llm.common import stage, with_free_name
 
 SIZE = 1 << 16  # hashed n-grams
 PER_LANGUAGE = 2000  # texts, about, of each language to fit on; a fifth of them calibrates
@@ -231,16 +231,24 @@ def fit(
     return Model(languages, idf, weights, temperature)
 
 
-def identify(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All columns of ``documents`` (save equally named ones) with ``lang_pred`` and ``score``.
+def identify(
+    documents: DataFrame,
+    model: Model,
+    text_column: str = "text",
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """All columns of ``documents`` (save those called as in ``names``) and, under ``names``, the
+    language of each text and its calibrated probability.
 
-    The whole text is read and nothing else: ``score`` is the calibrated probability of
-    ``lang_pred``. NULL text and text without a letter are ``und`` with score 0. Rows do not move;
-    repeated rows get the same answer.
+    The whole text is read and nothing else. NULL text and text without a letter are ``und`` with
+    score 0. Rows do not move; repeated rows get the same answer.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
-    schema = documents.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    kept = [c for c in documents.columns if c.lower() not in names]
+    answers = [F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])]
+    schema = documents.select(*kept, *answers).schema
+    for column in schema:
+        column.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,12 +257,10 @@ def identify(documents: DataFrame, model: Model, text_column: str = "text") -> D
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array([m[0] for m in made], pa.string()),
                  pa.array([m[1] for m in made], pa.float64())],
-                [*kept, "lang_pred", "score"],
+                [*kept, *names],
             )
 
-    for column in schema:
-        column.nullable = True
-    read = documents.select(*kept, F.col(text_column).alias("__text"))
+    read = documents.select(*kept, F.col(text_column).alias(with_free_name(documents, "text_")))
     return read.mapInArrow(run, schema)
 
 

@@ -8,6 +8,8 @@ the documents move once, to meet the positions that they lose.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.common import lower_ascii, stage, trimmed
@@ -31,8 +33,10 @@ def drop_shared_lines(
     min_chars: int = MIN_CHARS,
     id_column: str = "doc_id",
     text_column: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``_id, _text, n_lines, n_dropped, kept_text`` for every row of ``documents``.
+    """``_id, _text, n_lines, n_dropped, kept_text`` for every row of ``documents``, and ``_carry``,
+    a struct of the columns named in ``carry``.
 
     A line goes, wherever it stands, when its key has at least ``min_chars`` code points and is
     found in at least ``min_documents`` documents. Documents are told apart by their id: rows that
@@ -41,9 +45,15 @@ def drop_shared_lines(
     NULL or empty text is one empty line, which has no key and stays (``kept_text`` is then empty).
     A text that loses every line is left as empty text. Other columns are not read.
     """
-    rows = documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    # Rows that share the id and this number share their text, so they share its positions.
-    rows = rows.withColumn("_same", F.xxhash64("_text"))
+    carried = [F.struct(*carry).alias("_carry")] if carry else []
+    rows = documents.select(
+        F.col(id_column).alias("_id"),
+        F.col(text_column).alias("_text"),
+        # Rows that share the id and this number share their text, so they share its positions.
+        F.xxhash64(text_column).alias("_same"),
+        *carried,
+    )
+    kept_columns = ["_carry"] if carry else []
     keyed = rows.select(
         "_id", "_same", F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line")
     ).select("_id", "_same", "_pos", line_key(F.col("_line")).alias("_key"))
@@ -81,6 +91,7 @@ def drop_shared_lines(
         "_text",
         _lines(F.col("_text")).alias("_all"),
         F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop"),
+        *kept_columns,
     )
     # The stretches between two dropped positions, one slice each: linear in the lines.
     ends = F.concat(F.col("_drop"), F.array(F.size("_all")))
@@ -97,4 +108,5 @@ def drop_shared_lines(
         F.when(F.size("_drop") == 0, F.coalesce("_text", F.lit("")))
         .otherwise(F.array_join(kept, "\n"))
         .alias("kept_text"),
+        *kept_columns,
     )

@@ -12,6 +12,7 @@ from tablewright.llm import (
     language_id,
     line_dedup,
     mixing,
+    pieces,
     quality,
     simhash,
     suffix_tree,
@@ -250,6 +251,26 @@ FROM m
 """
 
 
+def piece_model() -> pieces.Pieces:
+    """The public SentencePiece model, where the file of it is installed."""
+    import public_tokenizers
+
+    return pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op8_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of every document, and whether they give the text back."""
+    encoded = pieces.encode(table(spark, directory, "documents"), piece_model())
+    text = F.replace(F.coalesce("_text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
+    return encoded.select(
+        F.col("_id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        "ids",
+        (F.col("decoded") == text).alias("round_trip"),
+    )
+
+
 @_query
 def op9_vector_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Links and component of every vector."""

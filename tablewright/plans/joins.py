@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablewright.functions.skew import (
     SLICE,
     earlier_slices,
-    hot_rows,
-    slice_hot,
+    over_keys,
     slice_window,
     with_carry,
 )
-from tablewright.functions.times import seconds
 from tablewright.plans.helpers import n_rows, statement
 from tablewright.plans.registry import Tables, query
+from tablewright.session import isolated_session
 
 
 @query(
@@ -121,7 +120,7 @@ def semi_join(t: Tables) -> DataFrame:
     "p11_anti_join",
     """
     SELECT p_partkey, p_name FROM part
-    WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)
     """,
 )
 def anti_join(t: Tables) -> DataFrame:
@@ -144,23 +143,29 @@ def cross_join(t: Tables) -> DataFrame:
     return joined.select("c_custkey", F.round(F.col("c_acctbal") - F.col("mean"), 4).alias("above_mean"))
 
 
-BANDS = "VALUES ('low', 0, 50000), ('middle', 50000, 150000), ('high', 150000, 300000), ('top', 300000, 1e9)"
+BANDS = "VALUES ('low', NULL, 50000), ('middle', 50000, 150000), ('high', 150000, 300000), ('top', 300000, NULL)"
 
 
 @query(
     "p13_theta_join",
     f"""
     SELECT band, COUNT(*) AS n, MAX(o_totalprice) AS top
-    FROM orders JOIN ({BANDS}) AS b(band, low, high) ON o_totalprice >= low AND o_totalprice < high
+    FROM orders JOIN ({BANDS}) AS b(band, low, high)
+      ON (low IS NULL OR o_totalprice >= low) AND (high IS NULL OR o_totalprice < high)
     GROUP BY band
     """,
 )
 def theta_join(t: Tables) -> DataFrame:
-    """No equality to hash on: every order meets the four bands, of which it is in one."""
+    """No equality to hash on: every order meets the four bands, of which it is in one.
+
+    The first and the last band are open, so no price is outside.
+    """
     bands = t.spark.sql(f"SELECT * FROM {BANDS} AS b(band, low, high)")
     price = F.col("o_totalprice")
     joined = t.orders.join(
-        F.broadcast(bands), (price >= F.col("low")) & (price < F.col("high"))
+        F.broadcast(bands),
+        (F.col("low").isNull() | (price >= F.col("low")))
+        & (F.col("high").isNull() | (price < F.col("high"))),
     )
     return joined.groupBy("band").agg(n_rows().alias("n"), F.max("o_totalprice").alias("top"))
 
@@ -198,25 +203,34 @@ def interval_join(t: Tables) -> DataFrame:
 )
 def as_of_join(t: Tables) -> DataFrame:
     """The latest view before each purchase: one ordered pass over both, users cut if large."""
-    keys = ["user_id"]
-    events = t.events.where(F.col("event_type").isin("purchase", "view")).select(
-        "event_id", "user_id", "ts", "event_type"
-    )
-    sliced = slice_hot(events, keys, seconds("ts"))
+    keys, order = ["user_id"], ["ts", "event_id"]
     # A NULL user is no user: such rows have no view to find, as in an equality.
     view = F.when((F.col("event_type") == "view") & F.col("user_id").isNotNull(), F.col("ts"))
-    earlier = slice_window(keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = sliced.withColumn("here", F.max(view).over(earlier))
-    before = (
-        hot_rows(sliced)
-        .groupBy("user_id", SLICE)
-        .agg(F.max(view).alias("last"))
-        .select("user_id", SLICE, F.max("last").over(earlier_slices(keys)).alias("before"))
-    )
-    purchases = local.where("event_type = 'purchase'")
-    return with_carry(purchases, before, keys).select(
-        "event_id", "user_id", "ts", F.coalesce("here", "before").alias("last_view")
+
+    def purchases(rows: DataFrame, part: Window) -> DataFrame:
+        earlier = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("last_view", F.max(view).over(earlier)).where(
+            "event_type = 'purchase'"
+        )
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return purchases(rows, Window.partitionBy(*keys))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        before = (
+            rows.groupBy("user_id", SLICE)
+            .agg(F.max(view).alias("last"))
+            .select("user_id", SLICE, F.max("last").over(earlier_slices(keys)).alias("before"))
+        )
+        found = with_carry(purchases(rows, slice_window(keys)), before, keys)
+        return found.withColumn("last_view", F.coalesce("last_view", "before")).drop(
+            SLICE, "before"
+        )
+
+    events = t.events.where(F.col("event_type").isin("purchase", "view")).select(
+        "event_id", "user_id", "ts", "event_type"
     )
+    return over_keys(events, keys, order, plain, sliced).drop("event_type")
 
 
 def _joined(t: Tables, hint: str) -> DataFrame:
@@ -324,11 +338,13 @@ def in_subquery(t: Tables) -> DataFrame:
 def not_in(t: Tables) -> DataFrame:
     """``NOT IN`` with its rule for NULL spelled out, so that it stays a hash-able anti join.
 
-    A NULL in the list makes the result empty; a NULL on the left is in no result.
+    A NULL in the list makes the result empty; a NULL on the left is in the result only if the list
+    is empty.
     """
     listed = t.orders.where("o_totalprice > 300000").select("o_custkey").distinct()
-    nulls = listed.where("o_custkey IS NULL").select(n_rows()).scalar()
-    known = t.customer.where(F.col("c_custkey").isNotNull() & (nulls == 0))
+    n_listed = listed.select(n_rows()).scalar()
+    nulls = listed.select(F.count_if(F.col("o_custkey").isNull())).scalar()
+    known = t.customer.where((F.col("c_custkey").isNotNull() | (n_listed == 0)) & (nulls == 0))
     joined = known.join(listed, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return joined.select("c_custkey")
 
@@ -363,9 +379,13 @@ def cte(t: Tables) -> DataFrame:
     """,
 )
 def recursive_cte(t: Tables) -> DataFrame:
-    """A calendar of quarters from the first order to the last, and the orders in each."""
+    """A calendar of quarters from the first order to the last, and the orders in each.
+
+    A recursion has one level per quarter; the limit is set beyond any calendar.
+    """
+    session = isolated_session(t.spark, {"spark.sql.cteRecursionLevelLimit": "100000"})
     return statement(
-        t,
+        Tables(session, t.directory),
         "WITH RECURSIVE quarters(start, stop) AS ("
         "SELECT CAST(date_trunc('quarter', MIN(o_orderdate)) AS TIMESTAMP_NTZ), MAX(o_orderdate) FROM orders "
         "UNION ALL "

@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.functions.skew import (
-    KEY_ROWS,
     SLICE,
     earlier_slices,
-    hot_rows,
+    over_keys,
     running_totals,
-    slice_hot,
     slice_window,
     with_carry,
 )
-from tablewright.functions.times import seconds
 from tablewright.plans.helpers import n_rows
 from tablewright.plans.registry import Tables, query
 
@@ -35,46 +32,62 @@ from tablewright.plans.registry import Tables, query
     """,
 )
 def ranking(t: Tables) -> DataFrame:
-    """All six from the ranks inside a slice and the counts of the slices before it."""
-    keys = ["o_custkey"]
-    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    sliced = slice_hot(orders, keys, seconds("o_orderdate"))
-    part = slice_window(keys)
-    by_date = part.orderBy("o_orderdate")
-    local = sliced.select(
-        "*",
-        F.row_number().over(part.orderBy("o_orderdate", "o_orderkey")).alias("rn"),
-        F.rank().over(by_date).alias("rk"),
-        F.dense_rank().over(by_date).alias("dr"),
-        F.count(F.lit(1)).over(by_date).alias("upto"),
-        F.coalesce(KEY_ROWS, F.count(F.lit(1)).over(part)).alias("total"),
-    )
-    before = (
-        hot_rows(sliced)
-        .groupBy("o_custkey", SLICE, "o_orderdate")
-        .agg(n_rows().alias("n"))
-        .groupBy("o_custkey", SLICE)
-        .agg(F.sum("n").alias("n"), n_rows().alias("dates"))
-        .select(
-            "o_custkey",
-            SLICE,
-            F.sum("n").over(earlier_slices(keys)).alias("rows_before"),
-            F.sum("dates").over(earlier_slices(keys)).alias("dates_before"),
+    """All six from a row's number and, for each date of its key, the rows and dates before it.
+
+    A date may be in several slices of a hot key, so its ranks come from counts per date.
+    """
+    keys, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+
+    def plain(orders: DataFrame) -> DataFrame:
+        part = Window.partitionBy("o_custkey")
+        by_date = part.orderBy("o_orderdate")
+        return orders.select(
+            "o_orderkey",
+            F.row_number().over(part.orderBy(*order)).cast("bigint").alias("row_number"),
+            F.rank().over(by_date).cast("bigint").alias("rank"),
+            F.dense_rank().over(by_date).cast("bigint").alias("dense_rank"),
+            F.count(F.lit(1)).over(by_date).alias("upto"),
+            F.count(F.lit(1)).over(part).alias("total"),
         )
-    )
-    total = F.col("total")
-    ranked = with_carry(local, before, keys).select(
-        "o_orderkey",
-        total,
-        (F.col("rn") + F.coalesce("rows_before", F.lit(0))).alias("row_number"),
-        (F.col("rk") + F.coalesce("rows_before", F.lit(0))).alias("rank"),
-        (F.col("dr") + F.coalesce("dates_before", F.lit(0))).alias("dense_rank"),
-        (F.col("upto") + F.coalesce("rows_before", F.lit(0))).alias("upto"),
-    )
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        numbered = running_totals(rows, keys, order, {"row_number": F.lit(1)})
+        per_slice = rows.groupBy("o_custkey", SLICE, "o_orderdate").agg(n_rows().alias("n"))
+        # A date of one key is one row per slice here; the key's dates are numbered in slices too.
+        dates = per_slice.groupBy("o_custkey", "o_orderdate").agg(
+            F.sum("n").alias("n"), F.min(SLICE).alias(SLICE)
+        )
+        counted = running_totals(
+            dates, keys, ["o_orderdate"], {"upto": F.col("n"), "dense_rank": F.lit(1)}
+        )
+        totals = rows.groupBy("o_custkey").agg(n_rows().alias("total"))
+        per_date = with_key_totals(counted, totals)
+        same = F.col("o_custkey").eqNullSafe(F.col("_key")) & F.col("o_orderdate").eqNullSafe(
+            F.col("_date")
+        )
+        return numbered.join(per_date, same).select(
+            "o_orderkey", "row_number", "rank", "dense_rank", "upto", "total"
+        )
+
+    def with_key_totals(counted: DataFrame, totals: DataFrame) -> DataFrame:
+        # One row per hot key, of which there are few.
+        few = totals.withColumnRenamed("o_custkey", "_key")
+        joined = counted.join(F.broadcast(few), F.col("o_custkey").eqNullSafe(F.col("_key")))
+        return joined.select(
+            "_key",
+            F.col("o_orderdate").alias("_date"),
+            (F.col("upto") - F.col("n") + 1).alias("rank"),
+            "dense_rank",
+            "upto",
+            "total",
+        )
+
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    ranked = over_keys(orders, keys, order, plain, sliced)
     # ntile: the first ``total % 4`` buckets hold one row more than the others.
+    total, number = F.col("total"), F.col("row_number")
     size, longer = F.floor(total / 4), total % 4
     in_longer = longer * (size + 1)
-    number = F.col("row_number")
     ntile = F.when(number <= in_longer, F.floor((number - 1) / (size + 1)) + 1).otherwise(
         longer + F.floor((number - 1 - in_longer) / F.greatest(size, F.lit(1))) + 1
     )
@@ -100,44 +113,49 @@ def ranking(t: Tables) -> DataFrame:
 )
 def lag_lead_first(t: Tables) -> DataFrame:
     """Only the first and last row of a slice look beyond it, at the edges of its neighbours."""
-    keys = ["user_id"]
-    events = t.events.select("event_id", "user_id", "ts", "value")
-    sliced = slice_hot(events, keys, seconds("ts"))
-    part = slice_window(keys)
-    ordered = part.orderBy("ts", "event_id")
-    local = sliced.select(
-        "*",
-        F.row_number().over(ordered).alias("rn"),
-        F.count(F.lit(1)).over(part).alias("rows"),
-        F.lag("value").over(ordered).alias("lag"),
-        F.lead("value").over(ordered).alias("lead"),
-        F.first("value").over(ordered).alias("local_first"),
-    )
-    order = F.struct("ts", "event_id")
-    by_slice = Window.partitionBy("user_id").orderBy(SLICE)
-    edges = (
-        hot_rows(sliced)
-        .groupBy("user_id", SLICE)
-        .agg(F.min_by("value", order).alias("head"), F.max_by("value", order).alias("tail"))
-        .select(
-            "user_id",
-            SLICE,
-            F.lag("tail").over(by_slice).alias("tail_before"),
-            F.lead("head").over(by_slice).alias("head_after"),
-            F.first("head").over(by_slice).alias("very_first"),
+    keys, order = ["user_id"], ["ts", "event_id"]
+
+    def local(rows: DataFrame, part: Window) -> DataFrame:
+        ordered = part.orderBy(*order)
+        return rows.select(
+            "*",
+            F.row_number().over(ordered).alias("rn"),
+            F.count(F.lit(1)).over(part).alias("rows"),
+            F.lag("value").over(ordered).alias("previous"),
+            F.lead("value").over(ordered).alias("next"),
+            F.first("value").over(ordered).alias("first"),
         )
-    )
-    is_hot = F.col(KEY_ROWS).isNotNull()
-    return with_carry(local, edges, keys).select(
-        "event_id",
-        F.when(is_hot & (F.col("rn") == 1), F.col("tail_before"))
-        .otherwise(F.col("lag"))
-        .alias("previous"),
-        F.when(is_hot & (F.col("rn") == F.col("rows")), F.col("head_after"))
-        .otherwise(F.col("lead"))
-        .alias("next"),
-        F.when(is_hot, F.col("very_first")).otherwise(F.col("local_first")).alias("first"),
-    )
+
+    def plain(rows: DataFrame) -> DataFrame:
+        made = local(rows, Window.partitionBy("user_id"))
+        return made.select("event_id", "previous", "next", "first")
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        place = F.struct(*order)
+        by_slice = Window.partitionBy("user_id").orderBy(SLICE)
+        edges = (
+            rows.groupBy("user_id", SLICE)
+            .agg(F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"))
+            .select(
+                "user_id",
+                SLICE,
+                F.lag("tail").over(by_slice).alias("tail_before"),
+                F.lead("head").over(by_slice).alias("head_after"),
+                F.first("head").over(by_slice).alias("very_first"),
+            )
+        )
+        last = F.col("rn") == F.col("rows")
+        return with_carry(local(rows, slice_window(keys)), edges, keys).select(
+            "event_id",
+            F.when(F.col("rn") == 1, F.col("tail_before"))
+            .otherwise(F.col("previous"))
+            .alias("previous"),
+            F.when(last, F.col("head_after")).otherwise(F.col("next")).alias("next"),
+            F.col("very_first").alias("first"),
+        )
+
+    events = t.events.select("event_id", "user_id", "ts", "value")
+    return over_keys(events, keys, order, plain, sliced)
 
 
 @query(
@@ -150,15 +168,18 @@ def lag_lead_first(t: Tables) -> DataFrame:
     """,
 )
 def rows_frame(t: Tables) -> DataFrame:
+    keys, order = ["user_id"], ["ts", "event_id"]
+    values = {"n_so_far": F.lit(1), "spent_so_far": F.col("value").cast("decimal(12,2)")}
+
+    def plain(rows: DataFrame) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({name: F.sum(v).over(upto) for name, v in values.items()})
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        return running_totals(rows, keys, order, values).drop(SLICE)
+
     events = t.events.select("event_id", "user_id", "ts", "value")
-    sliced = slice_hot(events, ["user_id"], seconds("ts"))
-    totals = running_totals(
-        sliced,
-        ["user_id"],
-        [F.col("ts"), F.col("event_id")],
-        {"n_so_far": F.lit(1), "spent_so_far": F.col("value").cast("decimal(12,2)")},
-    )
-    return totals.select(
+    return over_keys(events, keys, order, plain, sliced).select(
         "event_id", "user_id", "n_so_far", F.col("spent_so_far").cast("double").alias("spent_so_far")
     )
 
@@ -167,13 +188,13 @@ def rows_frame(t: Tables) -> DataFrame:
     "p32_range_frame",
     """
     SELECT DISTINCT o_custkey, o_orderdate::DATE AS day,
-           COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate
+           COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE
                           RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS n_in_week
     FROM orders
     """,
 )
 def range_frame(t: Tables) -> DataFrame:
-    """Orders per customer in the seven days up to each of its order days.
+    """Orders per customer in each of its order days and the seven days before; a day counts whole.
 
     Rows of one day share a frame, so days are counted first: a customer is as many rows as it
     has order days, however many orders it has.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tablewright.functions.names import quoted
-from tablewright.sources.folders import reads_from
+from tablewright.sources.folders import exists, remove, rename, sibling
 
 # Fixed values of the text that describes an export.
 EXPORT_TEXT = """Results written to Parquet successfully!
@@ -23,7 +23,11 @@ Schema:
 
 
 def write_parquet(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    mode: str = "overwrite",
+    rebalance: bool = True,
 ) -> int:
     """Write all of ``df`` and return the number of rows, counted while they are written.
 
@@ -31,10 +35,26 @@ def write_parquet(
     written by few tasks instead of by all, and AQE splits a value that holds much of the data
     over several. The count sits behind that shuffle, in the stage that writes, where a task that
     runs again after an executor loss is counted once.
+
+    What stands at ``path`` is replaced when the write has succeeded, not before: the rows go to a
+    folder next to it, which then takes its name. So a query may read from ``path``, in whatever
+    way, and one that fails leaves it as it was. On an object store taking a name copies the data;
+    write to a new path there.
     """
-    if mode == "overwrite" and reads_from(df, path):
-        raise ValueError(f"the result reads from {path}, so it cannot replace it")
-    if partition_by:
+    spark = df.sparkSession
+    if mode == "overwrite" and exists(spark, path):
+        new = sibling(path, "new")
+        try:
+            n_rows = write_parquet(df, new, partition_by, "errorifexists", rebalance)
+        except BaseException:
+            remove(spark, new)
+            raise
+        old = sibling(path, "old")
+        rename(spark, path, old)
+        rename(spark, new, path)
+        remove(spark, old)
+        return n_rows
+    if partition_by and rebalance:
         df = df.hint("rebalance", *(F.col(quoted(name)) for name in partition_by))
     written = Observation()
     (

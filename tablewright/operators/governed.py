@@ -10,7 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from tablewright.operators.mutate import Expression, as_column
+from tablewright.operators.mutate import Expression, as_column, unknown_names
 
 
 def governed(
@@ -24,11 +24,14 @@ def governed(
     projection over the raw row. What is selected or filtered later sees masked values only.
     """
     masks = masks or {}
-    unknown = [name for name in masks if name not in df.columns]
+    unknown = unknown_names(masks, df.schema)
     if unknown:
         raise ValueError(f"masked columns not in the table: {', '.join(unknown)}")
     visible = df if row_filter is None else df.where(as_column(row_filter))
-    return visible.withColumns({name: as_column(mask) for name, mask in masks.items()})
+    declared_name = {name.lower(): name for name in df.columns}
+    return visible.withColumns(
+        {declared_name[name.lower()]: as_column(mask) for name, mask in masks.items()}
+    )
 
 
 def governed_view(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -11,7 +11,7 @@ from tablewright.functions.names import quoted
 
 Expression = Column | str
 
-AFFECTED = "__affected"
+AFFECTED = "__affected"  # where an update keeps what it selects, while it runs
 
 
 def as_column(expression: Expression) -> Column:
@@ -24,18 +24,29 @@ def holds(predicate: Expression) -> Column:
     return F.coalesce(as_column(predicate), F.lit(False))
 
 
-def append_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
+def append_rows(df: DataFrame, rows: DataFrame, by_position: bool = False) -> DataFrame:
     """``df`` followed by ``rows``, matched by name and stored in ``df``'s types.
 
     A column that ``rows`` lacks is NULL. An unknown column or a type that cannot be stored
-    (text into a number) is refused at analysis, an overflow at run time.
+    (text into a number) is refused at analysis, an overflow at run time. By position, as
+    ``INSERT INTO t VALUES`` does, ``rows`` has as many columns as ``df``, whatever their names.
     """
-    return df.unionByName(conform(rows, df.schema))
+    return df.unionByName(conform(rows, df.schema, by_position))
 
 
-def conform(rows: DataFrame, schema: StructType) -> DataFrame:
+def unknown_names(names: Iterable[str], schema: StructType) -> list[str]:
+    """Those of ``names`` that ``schema`` lacks, without regard to case, as Spark resolves names."""
+    known = {name.lower() for name in schema.names}
+    return [name for name in names if name.lower() not in known]
+
+
+def conform(rows: DataFrame, schema: StructType, by_position: bool = False) -> DataFrame:
     """``rows`` in the columns and types of ``schema``, by the rules of an insert."""
-    unknown = [name for name in rows.columns if name not in schema.names]
+    if by_position:
+        if len(rows.columns) != len(schema):
+            raise ValueError(f"{len(rows.columns)} columns for the {len(schema)} of the target")
+        rows = rows.toDF(*schema.names)
+    unknown = unknown_names(rows.columns, schema)
     if unknown:
         raise ValueError(f"columns not in the target: {', '.join(unknown)}")
     nullable = StructType([StructField(field.name, field.dataType) for field in schema.fields])
@@ -53,19 +64,21 @@ def required(value: Column, name: str) -> Column:
     return F.coalesce(value, F.raise_error(F.lit(f"NULL in column {name}, which is NOT NULL")))
 
 
-def flag_updates(
+def update_rows(
     df: DataFrame, assignments: Mapping[str, Expression], where: Expression = "true"
 ) -> DataFrame:
-    """The updated rows plus a column that says which of them ``where`` selected.
+    """``UPDATE df SET c = e, … WHERE p``: same rows, rows where ``p`` is true changed.
 
     Every right-hand side sees the old row, is evaluated only for selected rows, and is stored in
     the declared type of its column.
     """
-    unknown = [name for name in assignments if name not in df.columns]
+    unknown = unknown_names(assignments, df.schema)
     if unknown:
         raise ValueError(f"columns not in the table: {', '.join(unknown)}")
     if AFFECTED in df.columns:
         raise ValueError(f"the column name {AFFECTED} is reserved")
+    declared_name = {name.lower(): name for name in df.columns}
+    assignments = {declared_name[name.lower()]: e for name, e in assignments.items()}
     new = {name: f"__new_{i}" for i, name in enumerate(assignments)}
     affected = holds(where)
     declared = StructType(
@@ -85,14 +98,7 @@ def flag_updates(
         ).otherwise(F.col(quoted(name)))
         for name in assignments
     }
-    return evaluated.withColumns(chosen).select(*map(quoted, df.columns), AFFECTED)
-
-
-def update_rows(
-    df: DataFrame, assignments: Mapping[str, Expression], where: Expression = "true"
-) -> DataFrame:
-    """``UPDATE df SET c = e, … WHERE p``: same rows, rows where ``p`` is true changed."""
-    return flag_updates(df, assignments, where).drop(AFFECTED)
+    return evaluated.withColumns(chosen).select(*map(quoted, df.columns))
 
 
 def delete_rows(df: DataFrame, where: Expression = "true") -> DataFrame:

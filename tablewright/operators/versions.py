@@ -1,9 +1,12 @@
 """Numbered versions of a table kept as Parquet folders.
 
-``root/data/_v=N[/p=…]`` holds the rows that commit N wrote and is never changed afterwards.
+``root/data/_v=N-<attempt>[/p=…]`` holds the rows that one attempt at commit N wrote and is never
+changed afterwards: every attempt has a folder of its own, so a second writer, or a job that is run
+again, cannot touch what another one committed.
 ``root/log/version=N`` holds one row that names the folders version N consists of. A commit
 becomes visible when Spark finishes that log folder with ``_SUCCESS``; a job that dies earlier
-leaves files that no version names. One writer at a time.
+leaves files that no version names. Of two writers that make the same version one gets its log
+folder; the other fails and changes nothing that a version names.
 
 An append writes only the new rows. An update or delete first finds the folders that hold a
 selected row, by a scan of the predicate's columns, and rewrites these folders alone; partition
@@ -13,6 +16,7 @@ the table by what the changes select on and a change costs its partitions, not t
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -71,22 +75,33 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return [
         version
         for version in _begun(spark, root)
-        if folders.exists(spark, f"{_log(root)}/version={version}/_SUCCESS")
+        if _complete(spark, root, version)
     ]
 
 
+def _complete(spark: SparkSession, root: str, version: int) -> bool:
+    return folders.exists(spark, f"{_log(root)}/version={version}/_SUCCESS")
+
+
+def _newest(spark: SparkSession, root: str) -> int | None:
+    """The newest complete version: one listing, and one look per version that a dead job began
+    after it, however long the history is."""
+    begun = reversed(_begun(spark, root))
+    return next((version for version in begun if _complete(spark, root, version)), None)
+
+
 def _next(spark: SparkSession, root: str) -> int:
     """The next number; one that a dead job began is not used again."""
     return _begun(spark, root)[-1] + 1
 
 
 def _entry(spark: SparkSession, root: str, version: int | None) -> _Entry:
-    known = versions(spark, root)
-    if not known:
+    newest = _newest(spark, root)
+    if newest is None:
         raise ValueError(f"no versioned table at {root}")
-    wanted = known[-1] if version is None else version
-    if wanted not in known:
-        raise ValueError(f"version {wanted} of {root} does not exist, there are {known[0]} to {known[-1]}")
+    wanted = newest if version is None else version
+    if wanted != newest and not _complete(spark, root, wanted):
+        raise ValueError(f"version {wanted} of {root} does not exist, the newest is {newest}")
     row = spark.read.schema(LOG_SCHEMA).json(f"{_log(root)}/version={wanted}").first()
     return _Entry(
         wanted,
@@ -120,7 +135,7 @@ def _commit(
     }
     line = spark.range(1, numPartitions=1).select(F.lit(json.dumps(entry)).alias("value"))
     line.write.mode("errorifexists").text(f"{_log(root)}/version={version}")
-    if version not in versions(spark, root):
+    if not _complete(spark, root, version):
         raise RuntimeError("the commit left no _SUCCESS file; let Spark mark finished jobs")
     return Commit(version, n_affected)
 
@@ -137,10 +152,11 @@ def _write(
     df: DataFrame,
     schema: StructType,
     partition_by: Sequence[str],
+    rebalance: bool = True,
 ) -> list[tuple[str, int, int]]:
     """Write the rows of one commit; the folders made, with counts from the file footers."""
-    path = f"{_data(root)}/{WRITTEN_BY}={version}"
-    write_parquet(df, path, partition_by)
+    path = f"{_data(root)}/{WRITTEN_BY}={version}-{uuid.uuid4().hex}"
+    write_parquet(df, path, partition_by, "errorifexists", rebalance)
     made = (
         manifest(spark, path, schema)
         .groupBy(_folder())
@@ -169,10 +185,10 @@ def create(
     if_not_exists: bool = False,
 ) -> Commit:
     """``CREATE TABLE``: version 0, without rows."""
-    known = versions(spark, root)
-    if known:
+    newest = _newest(spark, root)
+    if newest is not None:
         if if_not_exists:
-            return Commit(known[-1], 0)
+            return Commit(newest, 0)
         raise ValueError(f"there is a versioned table at {root}")
     declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if WRITTEN_BY in declared.names:
@@ -189,11 +205,16 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
     return _rows(spark, root, entry, entry.folders)
 
 
-def append(spark: SparkSession, root: str, rows: DataFrame) -> Commit:
-    """``INSERT INTO``: writes the new rows and keeps every folder there is."""
+def append(spark: SparkSession, root: str, rows: DataFrame, by_position: bool = False) -> Commit:
+    """``INSERT INTO``: writes the new rows and keeps every folder there is.
+
+    ``by_position`` is the form ``INSERT INTO t VALUES (…)``, which names no columns. In a partition
+    column an empty text is read back as NULL, as Spark does with every partitioned table.
+    """
     entry = _entry(spark, root, None)
     new = _next(spark, root)
-    made = _write(spark, root, new, conform(rows, entry.schema), entry.schema, entry.partition_by)
+    rows = conform(rows, entry.schema, by_position)
+    made = _write(spark, root, new, rows, entry.schema, entry.partition_by)
     n_rows = sum(n for _, n, _ in made)
     return _commit(
         spark, root, new, "append", entry.schema, entry.partition_by, entry.folders + made, n_rows
@@ -226,7 +247,7 @@ def _touched(
     return {unquote(row.folder): row.n for row in per_folder.collect()}
 
 
-def _rewrite(spark, root, operation, where, change) -> Commit:
+def _rewrite(spark, root, operation, where, change, assigned=()) -> Commit:
     entry = _entry(spark, root, None)
     touched = _touched(spark, root, entry, where)
     if not touched:
@@ -235,7 +256,10 @@ def _rewrite(spark, root, operation, where, change) -> Commit:
     kept = [folder for folder in entry.folders if folder[0] not in touched]
     new = _next(spark, root)
     changed = change(_rows(spark, root, entry, replaced))
-    made = _write(spark, root, new, changed, entry.schema, entry.partition_by)
+    # Rows that stay in their partitions are written by the tasks that read them, without a shuffle.
+    parts = {name.lower() for name in entry.partition_by}
+    moved = any(name.lower() in parts for name in assigned)
+    made = _write(spark, root, new, changed, entry.schema, entry.partition_by, rebalance=moved)
     return _commit(
         spark,
         root,
@@ -256,7 +280,12 @@ def update(
 ) -> Commit:
     """``UPDATE … SET … WHERE``; ``where`` must give the same answer each time it is asked."""
     return _rewrite(
-        spark, root, "update", where, lambda rows: update_rows(rows, assignments, where)
+        spark,
+        root,
+        "update",
+        where,
+        lambda rows: update_rows(rows, assignments, where),
+        assignments,
     )
 
 
@@ -276,7 +305,7 @@ def history(spark: SparkSession, root: str) -> DataFrame:
 
 def drop(spark: SparkSession, root: str, if_exists: bool = False) -> None:
     """``DROP TABLE``: remove the log and the data of all versions."""
-    if not versions(spark, root):
+    if _newest(spark, root) is None:
         if if_exists:
             return
         raise ValueError(f"no versioned table at {root}")

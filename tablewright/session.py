@@ -26,8 +26,9 @@ def build_session(
     app_name: str = "tabular-sql-jobs",
     settings: Mapping[str, str] | None = None,
     master: str | None = None,
+    schema: str | None = None,
 ) -> SparkSession:
-    """Start (or join) a session; ``settings`` win over the defaults.
+    """Start (or join) a session; ``settings`` win over the defaults, ``schema`` is then in use.
 
     ``spark.sql.defaultCatalog`` and ``spark.sql.catalog.<name>…`` entries are ordinary settings
     here, so a three-level name or a short name resolves as the cluster's catalog says.
@@ -37,7 +38,10 @@ def build_session(
         builder = builder.master(master)
     for key, value in {**DEFAULT_SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if schema is not None:
+        spark.catalog.setCurrentDatabase(schema)
+    return spark
 
 
 def isolated_session(
@@ -45,9 +49,12 @@ def isolated_session(
 ) -> SparkSession:
     """A session with the same tables and SQL settings but its own views, functions and ``USE``."""
     child = spark.newSession()
-    for key, value in spark.sql("SET").collect():
-        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
-            child.conf.set(key, value)
+    for key, _ in spark.sql("SET").collect():
+        # Catalogs are settings that Spark does not know by name, so it does not call them modifiable.
+        catalog = key == "spark.sql.defaultCatalog" or key.startswith("spark.sql.catalog.")
+        if catalog or (key.startswith("spark.sql.") and spark.conf.isModifiable(key)):
+            # The list of settings hides secrets; the setting itself does not.
+            child.conf.set(key, spark.conf.get(key))
     for key, value in (settings or {}).items():
         child.conf.set(key, value)
     child.catalog.setCurrentCatalog(spark.catalog.currentCatalog())

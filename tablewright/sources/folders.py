@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import unquote, urlparse
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,24 +49,13 @@ def remove(spark: SparkSession, path: str) -> bool:
     return file_system.delete(hadoop_path, True)
 
 
-def _parts(path: str) -> tuple[str, str, str]:
-    parsed = urlparse(path)
-    return parsed.scheme, parsed.netloc, unquote(parsed.path).rstrip("/")
-
+def rename(spark: SparkSession, path: str, new: str) -> None:
+    hadoop_path, file_system = _hadoop_path(spark, path)
+    if not file_system.rename(hadoop_path, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{path} cannot be renamed to {new}")
 
-def reads_from(df: DataFrame, path: str) -> bool:
-    """Whether a file that ``df`` reads lies under ``path``.
 
-    A path that does not exist yet cannot be read, so the file list is looked at only when
-    existing data is about to be replaced.
-    """
-    spark = df.sparkSession
-    if not exists(spark, path):
-        return False
-    hadoop_path, file_system = _hadoop_path(spark, path)
-    target = _parts(file_system.makeQualified(hadoop_path).toUri().toString())
-    for file in df.inputFiles():
-        scheme, authority, name = _parts(file)
-        if (scheme, authority) == target[:2] and (name + "/").startswith(target[2] + "/"):
-            return True
-    return False
+def sibling(path: str, label: str) -> str:
+    """A path next to ``path`` that nothing was written to yet; listings pass over its name."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/.{name}-{label}-{uuid.uuid4().hex}"

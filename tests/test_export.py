@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -54,17 +56,34 @@ def test_duplicate_names_are_refused(spark, folder):
         export_parquet(spark.sql("SELECT 1 AS a, 2 AS a"), f"{folder}/out")
 
 
-@pytest.mark.parametrize("target", ["{}/in", "{}/in/", "{}", "file:{}/in", "file://{}/in"])
-def test_a_result_does_not_replace_what_it_reads(spark, folder, target):
-    spark.range(3).write.parquet(f"{folder}/in")
-    with pytest.raises(ValueError, match="reads from"):
-        export_parquet(spark.read.parquet(f"{folder}/in").where("id > 0"), target.format(folder))
-    assert spark.read.parquet(f"{folder}/in").count() == 3
-
-
-def test_a_folder_with_a_longer_name_is_another_folder(spark, folder):
-    spark.range(3).write.parquet(f"{folder}/in put")
+@pytest.mark.parametrize("target", ["{}/in", "{}/in/", "file:{}/in", "file://{}/in"])
+def test_a_result_may_replace_what_it_reads(spark, folder, target):
     spark.range(3).write.parquet(f"{folder}/in")
-    export_parquet(spark.read.parquet(f"{folder}/in put"), f"{folder}/in")
-    with pytest.raises(ValueError):
-        export_parquet(spark.read.parquet(f"{folder}/in put"), f"{folder}/in put")
+    export_parquet(spark.read.parquet(f"{folder}/in").where("id > 0"), target.format(folder))
+    assert rows(spark.read.parquet(f"{folder}/in")) == [(1,), (2,)]
+    assert os.listdir(folder) == ["in"]
+
+
+def test_a_result_may_read_the_target_in_a_subquery(spark, folder):
+    spark.range(10).write.parquet(f"{folder}/out")
+    spark.read.parquet(f"{folder}/out").createOrReplaceTempView("old_export")
+    df = spark.sql("SELECT id FROM range(20) WHERE id > (SELECT 2 * avg(id) FROM old_export)")
+    export_parquet(df, f"{folder}/out")
+    assert rows(spark.read.parquet(f"{folder}/out")) == [(i,) for i in range(10, 20)]
+
+
+def test_a_result_may_read_the_target_from_a_cache(spark, folder):
+    spark.range(10).write.parquet(f"{folder}/out")
+    kept = spark.read.parquet(f"{folder}/out").cache()
+    export_parquet(kept.where("id < 2"), f"{folder}/out")
+    kept.unpersist()
+    assert rows(spark.read.parquet(f"{folder}/out")) == [(0,), (1,)]
+
+
+def test_a_query_that_fails_leaves_the_earlier_export(spark, folder):
+    export_parquet(spark.range(5), f"{folder}/out")
+    failing = spark.range(5).select(F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise("x"))
+    with pytest.raises(Exception, match="no"):
+        export_parquet(failing.toDF("id"), f"{folder}/out")
+    assert spark.read.parquet(f"{folder}/out").count() == 5
+    assert os.listdir(folder) == ["out"]

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.errors import AnalysisException, ArithmeticException
 from pyspark.sql import functions as F
 
-from tablewright.operators.mutate import append_rows, delete_rows, flag_updates, update_rows
+from tablewright.operators.mutate import append_rows, delete_rows, update_rows
 from tests.conftest import rows
 
 PEOPLE = [(1, "Alice", 100.5), (2, "Bob", 200.75), (3, "Charlie", 300.25)]
@@ -61,9 +61,12 @@ def test_types_are_kept_or_refused(people):
         update_rows(people, {"nme": "1"})
 
 
-def test_flag_counts_what_changed(people):
-    flagged = flag_updates(people, {"value": "0"}, "id < 3")
-    assert flagged.agg(F.count_if("__affected")).first()[0] == 2
+def test_names_in_any_case_and_by_position(spark, people):
+    changed = update_rows(people, {"VALUE": "0"}, "ID < 3")
+    assert changed.columns == people.columns
+    assert rows(changed.where("value = 0").select("id")) == [(1,), (2,)]
+    more = spark.sql("SELECT * FROM VALUES (4, 'Dora', 1.5D)")
+    assert rows(append_rows(people, more, by_position=True)) == [*PEOPLE, (4, "Dora", 1.5)]
 
 
 def test_append(spark, people):

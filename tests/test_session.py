@@ -50,3 +50,16 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         folders.shared_folder(Session())
+
+
+def test_catalogs_set_at_run_time_reach_the_child(spark):
+    name = "spark.sql.catalog.other"
+    spark.conf.set(name, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    spark.conf.set(f"{name}.password", "hidden")
+    try:
+        child = isolated_session(spark)
+        assert child.conf.get(name) == spark.conf.get(name)
+        assert child.conf.get(f"{name}.password") == "hidden"
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset(f"{name}.password")

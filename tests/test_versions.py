@@ -1,3 +1,4 @@
+import glob
 import os
 
 import pytest
@@ -52,7 +53,7 @@ def test_an_append_writes_only_new_rows(spark, root):
     versions.create(spark, root, SCHEMA)
     versions.append(spark, root, users(spark))
     versions.append(spark, root, users(spark, [(3, "Cy", 4)]))
-    assert spark.read.parquet(f"{root}/data/_v=2").count() == 1
+    assert spark.read.parquet(f"{root}/data/_v=2-*").count() == 1
     assert versions.read(spark, root).count() == 3
 
 
@@ -61,14 +62,12 @@ def test_a_change_rewrites_only_the_partitions_it_touches(spark, root):
     data = [(i, "abc"[i % 3]) for i in range(30)]
     versions.append(spark, root, users(spark, data, "id INT, p STRING"))
     assert versions.update(spark, root, {"id": "id + 100"}, "p = 'b' AND id < 10").n_affected == 3
-    assert os.listdir(f"{root}/data/_v=2") and {
-        name for name in os.listdir(f"{root}/data/_v=2") if name.startswith("p=")
-    } == {"p=b"}
+    assert [os.path.basename(path) for path in glob.glob(f"{root}/data/_v=2-*/p=*")] == ["p=b"]
     expected = [(i + 100 if p == "b" and i < 10 else i, p) for i, p in data]
     assert rows(versions.read(spark, root)) == sorted(expected, key=repr)
     assert versions.delete(spark, root, "p = 'c'").n_affected == 10
     assert rows(versions.read(spark, root)) == sorted((e for e in expected if e[1] != "c"), key=repr)
-    assert not os.path.exists(f"{root}/data/_v=3/p=c")
+    assert not glob.glob(f"{root}/data/_v=3-*/p=c")
 
 
 def test_a_partition_value_can_change(spark, root):
@@ -113,7 +112,7 @@ def test_a_commit_that_died_is_not_a_version(spark, root):
     versions.create(spark, root, SCHEMA)
     versions.append(spark, root, users(spark))
     os.makedirs(f"{root}/log/version=2/_temporary")
-    spark.range(5).write.parquet(f"{root}/data/_v=2")
+    spark.range(5).write.parquet(f"{root}/data/_v=2-dead")
     assert versions.versions(spark, root) == [0, 1]
     assert rows(versions.read(spark, root)) == USERS
     assert versions.append(spark, root, users(spark, [(3, "Cy", 4)])).version == 3
@@ -178,3 +177,55 @@ def test_any_sequence_of_commits(spark, tmp_path_factory, steps):
         states[commit.version] = state
     for version, expected in states.items():
         assert rows(versions.read(spark, root, version)) == sorted(expected, key=repr)
+
+
+def test_of_two_writers_of_one_version_one_fails_and_harms_nothing(spark, root, monkeypatch):
+    versions.create(spark, root, SCHEMA)
+    monkeypatch.setattr(versions, "_next", lambda spark, root: 1)
+    versions.append(spark, root, users(spark))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        versions.append(spark, root, users(spark, [(7, "Late", 1)]))
+    assert rows(versions.read(spark, root, 1)) == USERS
+    assert [r.n_rows for r in versions.history(spark, root).orderBy("version").collect()] == [0, 2]
+
+
+def test_a_read_looks_at_few_files_however_long_the_history(spark, root, monkeypatch):
+    versions.create(spark, root, SCHEMA)
+    looks = []
+    real = versions.folders.exists
+    for number in range(1, 200):
+        os.makedirs(f"{root}/log/version={number}")
+    for number in range(1, 200, 2):
+        open(f"{root}/log/version={number}/_SUCCESS", "w").close()
+    monkeypatch.setattr(
+        versions.folders, "exists", lambda spark, path: looks.append(path) or real(spark, path)
+    )
+    assert versions._newest(spark, root) == 199 and len(looks) == 1
+
+
+def test_insert_by_position_and_names_in_any_case(spark, root):
+    versions.create(spark, root, SCHEMA)
+    versions.append(spark, root, spark.sql("SELECT * FROM VALUES (1, 'Alice', 30)"), by_position=True)
+    versions.append(spark, root, spark.sql("SELECT 2 AS ID, 'Bob' AS Name, 25 AS age"))
+    versions.update(spark, root, {"AGE": "age + 1"}, "Id = 2")
+    assert rows(versions.read(spark, root)) == [(1, "Alice", 30), (2, "Bob", 26)]
+    with pytest.raises(ValueError, match="2 columns"):
+        versions.append(spark, root, spark.sql("SELECT 1, 2"), by_position=True)
+
+
+def test_a_change_that_moves_no_row_needs_no_rebalance(spark, root, monkeypatch):
+    versions.create(spark, root, "id INT, p STRING", ["p"])
+    versions.append(spark, root, spark.sql("SELECT CAST(id AS INT) AS id, IF(id < 5, 'a', 'b') AS p FROM range(9)"))
+    seen = []
+    real = versions.write_parquet
+
+    def watched(df, path, partition_by, mode, rebalance):
+        seen.append((rebalance, "Exchange" in df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, path, partition_by, mode, rebalance)
+
+    monkeypatch.setattr(versions, "write_parquet", watched)
+    versions.update(spark, root, {"id": "id + 100"}, "id = 3")
+    versions.delete(spark, root, "id = 4")
+    versions.update(spark, root, {"p": "'c'"}, "id = 7")
+    assert seen == [(False, False), (False, False), (True, False)]
+    assert rows(versions.read(spark, root).where("p = 'c'")) == [(7, "c")]

@@ -80,8 +80,10 @@ def preview_rows(t: Tables) -> DataFrame:
     "b04_rows_as_json",
     """
     SELECT CASE WHEN c_mktsegment = 'BUILDING'
-                THEN to_json(struct_pack(c_custkey := c_custkey, c_name := c_name))
+                THEN to_json(struct_pack(c_custkey := c_custkey, c_name := c_name,
+                                         c_nationkey := c_nationkey, c_acctbal := c_acctbal))
                 ELSE to_json(struct_pack(c_custkey := c_custkey, c_name := c_name,
+                                         c_nationkey := c_nationkey, c_acctbal := c_acctbal,
                                          c_mktsegment := c_mktsegment))
            END::VARCHAR AS value
     FROM customer
@@ -89,28 +91,32 @@ def preview_rows(t: Tables) -> DataFrame:
 )
 def json_rows(t: Tables) -> DataFrame:
     segment = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("c_mktsegment")
-    return rows_as_json(t.customer.select("c_custkey", "c_name", segment))
+    return rows_as_json(t.customer.withColumn("c_mktsegment", segment))
 
 
 @query(
     "b05_rows_as_text",
     """
-    SELECT concat_ws(' | ', o_orderkey::VARCHAR, coalesce(nullif(o_orderstatus, 'P'), 'null'),
-                     o_totalprice::VARCHAR, o_orderdate::VARCHAR) AS value
+    SELECT concat_ws(' | ', o_orderkey::VARCHAR, o_custkey::VARCHAR,
+                     coalesce(nullif(o_orderstatus, 'P'), 'null'), o_totalprice::VARCHAR,
+                     o_orderdate::VARCHAR, o_orderpriority) AS value
     FROM orders
     """,
 )
 def text_rows(t: Tables) -> DataFrame:
     status = F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus")
-    return rows_as_text(t.orders.select("o_orderkey", status, "o_totalprice", "o_orderdate"))
+    return rows_as_text(t.orders.withColumn("o_orderstatus", status))
 
 
 @query(
     "b06_profile",
     """
     WITH c AS (SELECT COUNT(*) AS n_rows, COUNT(o_orderkey) AS k, COUNT(o_totalprice) AS p,
-                      COUNT(o_orderdate) AS d, COUNT(NULLIF(o_orderstatus, 'P')) AS s FROM orders)
+                      COUNT(o_orderdate) AS d, COUNT(NULLIF(o_orderstatus, 'P')) AS s,
+                      COUNT(o_custkey) AS u, COUNT(o_orderpriority) AS y FROM orders)
     SELECT 'o_orderkey' AS "column", 'bigint' AS type, TRUE AS nullable, n_rows, n_rows - k AS n_null FROM c
+    UNION ALL SELECT 'o_custkey', 'bigint', TRUE, n_rows, n_rows - u FROM c
+    UNION ALL SELECT 'o_orderpriority', 'string', TRUE, n_rows, n_rows - y FROM c
     UNION ALL SELECT 'o_totalprice', 'double', TRUE, n_rows, n_rows - p FROM c
     UNION ALL SELECT 'o_orderdate', 'timestamp_ntz', TRUE, n_rows, n_rows - d FROM c
     UNION ALL SELECT 'o_orderstatus', 'string', TRUE, n_rows, n_rows - s FROM c
@@ -118,27 +124,21 @@ def text_rows(t: Tables) -> DataFrame:
 )
 def profile_columns(t: Tables) -> DataFrame:
     status = F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus")
-    return profile(t.orders.select("o_orderkey", "o_totalprice", "o_orderdate", status))
+    return profile(t.orders.withColumn("o_orderstatus", status))
 
 
 @query(
     "b07_export_parquet",
     """
-    SELECT l_orderkey, l_linenumber, l_partkey,
-           l_extendedprice * (1 - l_discount) AS net_price
-    FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-09-02 00:00:00'
+    SELECT *, l_extendedprice * (1 - l_discount) AS net_price FROM lineitem
     """,
 )
 def export(t: Tables) -> DataFrame:
-    shipped = t.lineitem.where("l_shipdate >= TIMESTAMP_NTZ '1998-09-02 00:00:00'").select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_price"),
-    )
+    net_price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    lines = t.lineitem.withColumn("net_price", net_price)
     path = fresh_folder(t.spark, "export")
-    export_parquet(shipped, path)
-    return t.spark.read.schema(shipped.schema).parquet(path)
+    export_parquet(lines, path)
+    return t.spark.read.schema(lines.schema).parquet(path)
 
 
 @query(
@@ -158,10 +158,10 @@ def export_manifest(t: Tables) -> DataFrame:
 
 @query(
     "b08_export_summary",
-    "SELECT COUNT(*) AS n_rows, COUNT(*) > 0 AS has_files FROM customer WHERE c_acctbal > 0",
+    "SELECT COUNT(*) AS n_rows, COUNT(*) > 0 AS has_files FROM customer",
 )
 def export_summary(t: Tables) -> DataFrame:
-    files = export_parquet(t.customer.where("c_acctbal > 0"), fresh_folder(t.spark, "summary"))
+    files = export_parquet(t.customer, fresh_folder(t.spark, "summary"))
     return summarize(files).select("n_rows", (F.col("n_files") > 0).alias("has_files"))
 
 

@@ -61,8 +61,9 @@ def union(t: Tables) -> DataFrame:
     "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
 )
 def intersect(t: Tables) -> DataFrame:
-    customers = t.customer.select(F.col("c_nationkey").alias("nation"))
-    return customers.intersect(t.supplier.select("s_nationkey"))
+    """Both sides are made distinct before the shuffle, so a hot value is one row per task."""
+    customers = t.customer.select(F.col("c_nationkey").alias("nation")).distinct()
+    return customers.intersect(t.supplier.select("s_nationkey").distinct())
 
 
 @query(
@@ -70,8 +71,9 @@ def intersect(t: Tables) -> DataFrame:
     "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45",
 )
 def except_(t: Tables) -> DataFrame:
-    parts = t.part.select(F.col("p_partkey").alias("id"))
-    return parts.subtract(t.lineitem.where("l_quantity > 45").select("l_partkey"))
+    """Both sides are made distinct before the shuffle, so a hot value is one row per task."""
+    parts = t.part.select(F.col("p_partkey").alias("id")).distinct()
+    return parts.subtract(t.lineitem.where("l_quantity > 45").select("l_partkey").distinct())
 
 
 @query(
@@ -83,34 +85,35 @@ def except_(t: Tables) -> DataFrame:
     """,
 )
 def except_all(t: Tables) -> DataFrame:
-    customers = t.customer.select(F.col("c_nationkey").alias("nation"))
-    rest = customers.exceptAll(t.supplier.select("s_nationkey"))
-    return rest.groupBy("nation").agg(n_rows().alias("n"))
+    """Rows left of each value, as a number: those of the left less those of the right."""
+    left = t.customer.select(F.col("c_nationkey").alias("nation"), F.lit(1).alias("one"))
+    right = t.supplier.select("s_nationkey", F.lit(-1))
+    return left.unionAll(right).groupBy("nation").agg(F.sum("one").alias("n")).where("n > 0")
 
 
 @query(
     "p46_null_order",
     """
     SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS status FROM orders
-    ORDER BY NULLIF(o_orderstatus, 'P') ASC NULLS LAST, o_orderkey LIMIT 100
+    ORDER BY NULLIF(o_orderstatus, 'P') ASC NULLS LAST, o_orderkey
     """,
 )
 def null_order(t: Tables) -> DataFrame:
     status = F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status")
     return t.orders.select("o_orderkey", status).orderBy(
         F.asc_nulls_last("status"), "o_orderkey"
-    ).limit(100)
+    )
 
 
 @query(
     "p46_nulls_first",
     """
     SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS status FROM orders
-    ORDER BY NULLIF(o_orderstatus, 'P') ASC NULLS FIRST, o_orderkey DESC LIMIT 100
+    ORDER BY NULLIF(o_orderstatus, 'P') ASC NULLS FIRST, o_orderkey DESC
     """,
 )
 def nulls_first(t: Tables) -> DataFrame:
     status = F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status")
     return t.orders.select("o_orderkey", status).orderBy(
         F.asc_nulls_first("status"), F.desc("o_orderkey")
-    ).limit(100)
+    )

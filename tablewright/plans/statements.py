@@ -11,7 +11,7 @@ from tablewright.plans.helpers import command, n_rows, rounded_avg, rounded_sum,
 from tablewright.plans.registry import Tables, query
 from tablewright.session import isolated_session
 from tablewright.sources.folders import fresh_folder
-from tablewright.sources.tables import TABLES, location, register
+from tablewright.sources.tables import location, register
 
 
 @query("r01_literal_select", "SELECT o_orderkey, 1 AS id, 'test' AS name FROM orders")
@@ -122,7 +122,7 @@ def _table(t: Tables) -> tuple:
 
 @query(
     "r14_create_table",
-    "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0",
+    "SELECT * FROM customer",
 )
 def create_table(t: Tables) -> DataFrame:
     session, name, folder = _table(t)
@@ -130,7 +130,7 @@ def create_table(t: Tables) -> DataFrame:
     command(
         session,
         f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{folder}' AS "
-        "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0",
+        "SELECT * FROM customer",
     )
     command(session, f"CREATE TABLE IF NOT EXISTS {name} (id INT) USING parquet")
     return _last_read(session, name)
@@ -181,66 +181,6 @@ def _last_read(session, name: str) -> DataFrame:
     return df
 
 
-@query(
-    "r18_show_tables",
-    """
-    SELECT table_name AS name, TRUE AS temporary FROM information_schema.tables
-    WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem',
-                         'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels',
-                         'conversations')
-    """,
-)
-def show_tables(t: Tables) -> DataFrame:
-    shown = statement(t, "SHOW TABLES")
-    views = shown.where(F.col("tableName").isin(*TABLES) & F.col("isTemporary"))
-    return views.select(F.col("tableName").alias("name"), F.col("isTemporary").alias("temporary"))
-
-
-@query("r19_show_catalogs", "SELECT 'spark_catalog' AS catalog, COUNT(*) AS n_tables FROM region")
-def show_catalogs(t: Tables) -> DataFrame:
-    catalogs = statement(t, "SHOW CATALOGS").where("catalog = 'spark_catalog'")
-    return catalogs.withColumn("n_tables", t.region.select(n_rows()).scalar())
-
-
-@query("r20_show_schemas", "SELECT 'default' AS namespace, COUNT(*) AS n_rows FROM orders")
-def show_schemas(t: Tables) -> DataFrame:
-    schemas = statement(t, "SHOW SCHEMAS IN spark_catalog").where("namespace = 'default'")
-    return schemas.withColumn("n_rows", t.orders.select(n_rows()).scalar())
-
-
-@query(
-    "r21_describe_table",
-    """
-    SELECT column_name AS col_name,
-           CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
-                          WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
-                          WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type
-    FROM information_schema.columns WHERE table_name = 'lineitem'
-    """,
-)
-def describe_table(t: Tables) -> DataFrame:
-    return statement(t, "DESCRIBE TABLE lineitem", "lineitem").select("col_name", "data_type")
-
-
-@query("r22_use_schema", "SELECT 'default' AS current, COUNT(*) AS n_rows FROM nation")
-def use_schema(t: Tables) -> DataFrame:
-    session = register(isolated_session(t.spark), t.directory, "nation")
-    command(session, "USE spark_catalog.default")
-    return session.sql("SELECT current_schema() AS current, COUNT(*) AS n_rows FROM nation")
-
-
-@query(
-    "r23_current_names",
-    "SELECT 'spark_catalog' AS catalog, 'default' AS schema, COUNT(*) AS n_rows FROM orders",
-)
-def current_names(t: Tables) -> DataFrame:
-    session = register(isolated_session(t.spark), t.directory, "orders")
-    command(session, "USE spark_catalog.default")
-    return session.sql(
-        "SELECT current_catalog() AS catalog, current_schema() AS schema, COUNT(*) AS n_rows FROM orders"
-    )
-
-
 @query(
     "r24_current_date",
     """

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.operators.export import write_parquet
+from tablewright.operators.render import rows_as_text
 from tablewright.plans.helpers import command, n_rows, statement
 from tablewright.plans.registry import Tables, query
 from tablewright.session import isolated_session
@@ -34,9 +35,9 @@ def orc(t: Tables) -> DataFrame:
     return _through(t, t.orders, "orc")
 
 
-@query("p01_json", "SELECT doc_id, text, lang FROM documents")
+@query("p01_json", "SELECT * FROM documents")
 def json(t: Tables) -> DataFrame:
-    return _through(t, t.documents.select("doc_id", "text", "lang"), "json")
+    return _through(t, t.documents, "json")
 
 
 @query("p01_csv", "SELECT * FROM customer")
@@ -44,9 +45,17 @@ def csv(t: Tables) -> DataFrame:
     return _through(t, t.customer, "csv", header="true")
 
 
-@query("p01_text", "SELECT c_name AS value FROM customer")
+@query(
+    "p01_text",
+    """
+    SELECT concat_ws(' | ', c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR,
+                     c_acctbal::VARCHAR, c_mktsegment) AS value
+    FROM customer
+    """,
+)
 def text(t: Tables) -> DataFrame:
-    return _through(t, t.customer.select(F.col("c_name").alias("value")), "text")
+    """A text source has one column, so a whole row is a line of it."""
+    return _through(t, rows_as_text(t.customer), "text")
 
 
 @query("p01_xml", "SELECT * FROM supplier")
@@ -146,15 +155,17 @@ def inline_values(t: Tables) -> DataFrame:
 @query(
     "p06_range",
     """
-    SELECT b.range AS bucket, COALESCE(n, 0) AS n FROM range(0, 60) b
-    LEFT JOIN (SELECT l_quantity::BIGINT AS q, COUNT(*) AS n FROM lineitem GROUP BY 1) ON q = b.range
+    SELECT COALESCE(q, b.range) AS bucket, COALESCE(n, 0) AS n FROM range(0, 60) b
+    FULL JOIN (SELECT floor(l_quantity)::BIGINT AS q, COUNT(*) AS n FROM lineitem GROUP BY 1)
+      ON q = b.range
     """,
 )
 def range_(t: Tables) -> DataFrame:
-    counted = t.lineitem.groupBy(F.col("l_quantity").cast("bigint").alias("bucket")).agg(
+    """Lines per whole quantity: 0 to 59 always, other quantities and NULL where there are lines."""
+    counted = t.lineitem.groupBy(F.floor("l_quantity").cast("bigint").alias("bucket")).agg(
         n_rows().alias("n")
     )
     buckets = t.spark.range(60).withColumnRenamed("id", "bucket")
-    return buckets.join(counted, "bucket", "left").select(
+    return buckets.join(counted, "bucket", "full").select(
         "bucket", F.coalesce("n", F.lit(0)).alias("n")
     )

@@ -12,6 +12,8 @@ import re
 import statistics
 import time
 
+from pyspark.sql import Window, functions as F
+
 from tablewright.operators.export import export_parquet, summarize
 from tablewright.plans.catalogue import QUERIES
 from tablewright.session import build_session
@@ -76,6 +78,20 @@ def export_in_one_pass(spark, path: str) -> None:
     summarize(export_parquet(table(spark, DIRECTORY, "lineitem"), path)).first()
 
 
+def plain_running_sums(spark):
+    """What ``p31_rows_frame`` computes, without the look for hot keys."""
+    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    events = table(spark, DIRECTORY, "events").select("event_id", "user_id", "ts", "value")
+    return events.withColumns(
+        {
+            "n_so_far": F.count(F.lit(1)).over(upto),
+            "spent_so_far": F.sum(F.col("value").cast("decimal(12,2)")).over(upto),
+        }
+    )
+
+
 def main() -> None:
     spark = build_session(
         "bench",
@@ -94,6 +110,7 @@ def main() -> None:
         name: seconds(lambda name=name: finish(QUERIES[name](spark, DIRECTORY)))
         for name in HEADLINE
     }
+    plain = {"p31_plain_window": seconds(lambda: finish(plain_running_sums(spark)))}
     exports = {
         "export_keep_count_write": seconds(
             lambda: export_in_two_passes(spark, fresh_folder(spark, "bench"))
@@ -111,6 +128,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": taken,
                 "exports": exports,
+                "plain": plain,
                 "sf": float(scale.group(1)) if scale else DIRECTORY,
                 "cpus": CPUS,
                 "spark": spark.version,

@@ -17,9 +17,15 @@ Output Directory: {path}
 Row Count: {n_rows}
 Parquet Files: {n_files}
 
+Files:
+{names}
+
 Schema:
 {tree}
 """
+NO_FILES_TEXT = "No Parquet files found (write may have failed)"
+
+NAMES = 1000  # that the text lists at most; the manifest has all
 
 
 def write_parquet(
@@ -106,8 +112,18 @@ def summarize(files: DataFrame) -> DataFrame:
 
 
 def describe(path: str, files: DataFrame, schema: StructType) -> str:
-    """The outcome of an export as text; the file list itself stays a DataFrame."""
+    """The outcome of an export as text, with the names of its files in order.
+
+    Beyond ``NAMES`` files the text says how many more there are; the manifest names them all.
+    """
     total = summarize(files).first()
+    names = [row.file for row in files.select("file").orderBy("file").limit(NAMES).collect()]
+    if total.n_files > len(names):
+        names.append(f"and {total.n_files - len(names)} more")
     return EXPORT_TEXT.format(
-        path=path, n_rows=total.n_rows, n_files=total.n_files, tree=schema.treeString()
+        path=path,
+        n_rows=total.n_rows,
+        n_files=total.n_files,
+        names="\n".join(names) or NO_FILES_TEXT,
+        tree=schema.treeString(),
     )

@@ -31,6 +31,6 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def schema_summary(df: DataFrame) -> str:
-    """The schema tree and the number of rows, as text."""
+    """The schema tree and the number of rows, as text (labels are fixed values)."""
     n_rows = df.agg(F.count(F.lit(1))).first()[0]
     return f"Schema:\n{df.schema.treeString()}\nRow count: {n_rows}"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tablewright.operators.export import export_parquet, manifest, summarize, write_parquet
+from tablewright.operators.export import describe, export_parquet, manifest, summarize, write_parquet
 from tests.conftest import rows
 
 
@@ -87,3 +87,15 @@ def test_a_query_that_fails_leaves_the_earlier_export(spark, folder):
         export_parquet(failing.toDF("id"), f"{folder}/out")
     assert spark.read.parquet(f"{folder}/out").count() == 5
     assert os.listdir(folder) == ["out"]
+
+
+def test_the_text_of_an_export_names_its_files(spark, folder, monkeypatch):
+    df = spark.range(0, 6, 1, 3)
+    files = export_parquet(df, f"{folder}/out")
+    names = sorted(row.file for row in files.collect())
+    text = describe(f"{folder}/out", files, df.schema)
+    assert "Files:\n" + "\n".join(names) + "\n\nSchema:" in text and len(names) == 3
+    monkeypatch.setattr("tablewright.operators.export.NAMES", 2)
+    assert "\n".join([*names[:2], "and 1 more"]) in describe(f"{folder}/out", files, df.schema)
+    none = describe(f"{folder}/out", files.where("false"), df.schema)
+    assert "Files:\nNo Parquet files found (write may have failed)" in none

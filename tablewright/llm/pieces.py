@@ -8,8 +8,8 @@ The one public model at hand is of the BPE kind, whose encoder does not look for
 highest sum of scores (Viterbi gives other pieces for most words), but merges neighbours, best score
 first. So the fold walks the edges from the best score down and merges where an edge spans two
 neighbouring pieces. That is the encoder's own order as long as no merge makes a better one
-possible; the fold notices where one does. Such words, words of more than ``MAX_CHARS`` characters
-and words with characters beyond the model (spelt in bytes) are merged one by one with a queue.
+possible; the fold notices where one does. Such words, and words of more than ``MAX_CHARS``
+characters, are merged one by one with a queue.
 
 Texts are dealt to blocks by a hash of their id in one shuffle, the only one: words, substrings and
 edges stay in the partition of their block, and so does the last step, which writes the pieces of a
@@ -31,7 +31,7 @@ from tablewright.llm.blocks import LEAST_BLOCKS
 MARK = "▁"  # stands for a blank
 MAX_CHARS = 60
 WORD = f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -107,12 +107,14 @@ class Merger:
                 offer(before[i], i)
         ids: list[int] = []
         for text in filter(None, at):
-            if text in self.known:
-                ids.append(self.known[text][1])
-            else:
-                ids += [self.byte_ids[o] for o in text.encode()]
+            ids += self.char(text)
         return ids
 
+    def char(self, text: str) -> list[int]:
+        """The id of a piece, or those of the bytes of a character that is none."""
+        known = self.known.get(text)
+        return [known[1]] if known else [self.byte_ids[o] for o in text.encode()]
+
     def decode(self, ids: list[int]) -> str:
         """The text of pieces; the blank that encoding puts in front is taken away."""
         made = b"".join(self.text.get(i) or self.octet.get(i, b"") for i in ids)
@@ -126,26 +128,27 @@ def marked(text: Column) -> Column:
     return F.when(text == "", F.lit("")).otherwise(whole)
 
 
+#: An edge is one number: rank, start, length, id, and whether a better piece may have it at an end.
+#: In the order of these numbers the encoder would merge them.
+RANK, START, LENGTH, ID = 33, 27, 21, 1
+SMALL, LARGE = (1 << 6) - 1, (1 << 20) - 1
+
+
 def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str]) -> DataFrame:
-    """``keys, _word, _edges``: the pieces that each word holds, each with where it is.
+    """``keys, _word, _edges``: the pieces of two characters or more that each word holds, as
+    numbers (see ``RANK``) from the best score down.
 
-    ``words`` has one row for every ``keys`` and ``_word``. An edge has ``rank, start, chars, id,
-    better``; edges are in the order in which the encoder would merge them.
+    ``words`` has one row for every ``keys`` and ``_word``. Words without such a piece, and those of
+    more than ``MAX_CHARS`` characters, have no row.
     """
     spans = (
         words.withColumn("_n", F.char_length("_word"))
-        .where(F.col("_n") <= MAX_CHARS)
-        .select("*", F.explode(F.expr("sequence(1, _n)")).alias("_start"))
-        .select("*", F.explode(F.expr(f"sequence(1, least({longest}, _n - _start + 1))")).alias("_chars"))
-        .select(*keys, "_word", "_start", "_chars", F.expr("substring(_word, _start, _chars)").alias("_piece"))
+        .where((F.col("_n") > 1) & (F.col("_n") <= MAX_CHARS))
+        .select("*", F.explode(F.expr("sequence(1, _n - 1)")).alias("_start"))
+        .select("*", F.explode(F.expr(f"sequence(2, least({longest}, _n - _start + 1))")).alias("_chars"))
+        .select(*keys, "_word", "_start", F.expr("substring(_word, _start, _chars)").alias("_piece"))
     )
-    edge = F.struct(
-        F.col("_rank").alias("rank"),
-        (F.col("_start") - 1).alias("start"),
-        F.col("_chars").alias("chars"),
-        F.col("_piece_id").alias("id"),
-        F.col("_better").alias("better"),
-    )
+    edge = F.col("_packed") + F.shiftleft((F.col("_start") - 1).cast("bigint"), START)
     return (
         spans.join(table, "_piece")
         .groupBy(*keys, "_word")
@@ -154,35 +157,39 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str]) -
 
 
 def with_bits(edges: Column) -> Column:
-    """Edges with their first boundary, all but their last, and their last, as bits of a number."""
+    """Edges as structs, with their first boundary, all but their last, and their last, as bits of a
+    number."""
 
     def shifted(number: Column, by: Column) -> Column:
         return F.call_function("shiftleft", number.cast("bigint"), by)
 
-    one = F.lit(1)
-    return F.transform(
-        edges,
-        lambda e: F.struct(
-            *(e[name].alias(name) for name in ("rank", "start", "chars", "id", "better")),
-            shifted(one, e["start"]).alias("low"),
-            shifted(shifted(one, e["chars"]) - 1, e["start"]).alias("own"),
-            shifted(one, e["start"] + e["chars"]).alias("high"),
-        ),
-    )
+    def field(e: Column, shift: int, mask: int) -> Column:
+        return F.shiftright(e, shift).bitwiseAND(F.lit(mask)).cast("int")
+
+    def bits(e: Column) -> Column:
+        start, chars = field(e, START, SMALL), field(e, LENGTH, SMALL)
+        return F.struct(
+            e.alias("packed"),
+            (e.bitwiseAND(F.lit(1)) == 1).alias("better"),
+            shifted(F.lit(1), start).alias("low"),
+            shifted(shifted(F.lit(1), chars) - 1, start).alias("own"),
+            shifted(F.lit(1), start + chars).alias("high"),
+        )
 
+    return F.transform(edges, bits)
 
-def spans_two(state: Column, e: Column) -> Column:
-    """Whether an edge spans two neighbouring pieces of ``state``, which has a bit for each boundary
-    between pieces."""
+
+def inner_boundaries(state: Column, e: Column, n: int) -> Column:
+    """Whether an edge begins and ends at boundaries of ``state``, which has a bit for each boundary
+    between pieces, and has ``n`` - 1 of them inside."""
     ends = e["low"].bitwiseOR(e["high"])
-    return (state.bitwiseAND(ends) == ends) & (F.bit_count(state.bitwiseAND(e["own"])) == 2)
+    return (state.bitwiseAND(ends) == ends) & (F.bit_count(state.bitwiseAND(e["own"])) == n)
 
 
 def encoded_words(words: DataFrame, table: DataFrame, longest: int, keys: list[str]) -> DataFrame:
-    """``keys, _word, _ids``, with NULL for words that are left to :class:`Merger`: those where a
-    merge made a better one possible, and those with characters that are no pieces.
-
-    Words without any edge, and words of more than ``MAX_CHARS`` characters, have no row.
+    """``keys, _word, _pieces``: the pieces of two characters or more in the encoding of a word, as
+    numbers for :func:`word_ids`; NULL where a merge made a better one possible, which is left to
+    :class:`Merger`, as are words without a row.
     """
     found = lattice(words, table, longest, keys)
     found = found.select(
@@ -195,13 +202,12 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, keys: list[s
         overtaken = e["better"] & F.exists(
             edges,
             lambda other: (
-                (other["rank"] < e["rank"])
-                | ((other["rank"] == e["rank"]) & (other["start"] < e["start"]))
+                F.shiftright(other["packed"], START) < F.shiftright(e["packed"], START)
             )
-            & spans_two(merged, other),
+            & inner_boundaries(merged, other, 2),
         )
         return (
-            F.when((state < 0) | ~spans_two(state, e), state)
+            F.when((state < 0) | ~inner_boundaries(state, e, 2), state)
             .when(overtaken, F.lit(-1).cast("bigint"))
             .otherwise(merged)
         )
@@ -209,36 +215,40 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, keys: list[s
     start = F.expr("shiftleft(1L, _n + 1) - 1")
     folded = found.withColumn("_state", F.aggregate("_e", start, step))
     state = F.col("_state")
+    chosen = F.filter("_e", lambda e: inner_boundaries(state, e, 1))
+    # Start, length and id, so that they come in the order of the text.
+    placed = F.transform(
+        chosen, lambda e: F.shiftright(e["packed"], ID).bitwiseAND(F.lit((1 << (RANK - ID)) - 1))
+    )
+    return folded.select(
+        *keys, "_word", F.when(state >= 0, F.sort_array(placed)).alias("_pieces")
+    )
 
-    def is_piece(e: Column) -> Column:
-        ends = e["low"].bitwiseOR(e["high"])
-        return (state.bitwiseAND(ends) == ends) & (F.bit_count(state.bitwiseAND(e["own"])) == 1)
 
-    chosen = F.sort_array(
-        F.transform(
-            F.filter("_e", is_piece),
-            lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")),
-        )
-    )
-    picked = folded.withColumn("_chosen", chosen)
-    whole = (state >= 0) & (F.size("_chosen") == F.bit_count(state) - 1)
-    ids = F.when(whole, F.transform("_chosen", lambda c: c["id"]))
-    return picked.select(*keys, "_word", ids.alias("_ids"))
+def word_ids(word: str, found: list[int], merger: Merger) -> list[int]:
+    """Ids of a word from what :func:`encoded_words` found in it; characters in between stand for
+    themselves."""
+    ids, at = [], 0
+    for piece in found:
+        start = piece >> (START - ID)
+        for char in word[at:start]:
+            ids += merger.char(char)
+        ids.append(piece & LARGE)
+        at = start + (piece >> (LENGTH - ID) & SMALL)
+    for char in word[at:]:
+        ids += merger.char(char)
+    return ids
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> tuple[DataFrame, int]:
     """The pieces as rows to join with, and the length of the longest. A model has some ten
     thousand pieces; beyond a million they are not broadcast."""
-    rows = pieces.rows()
+    rows = [row for row in pieces.rows() if row[1] > 1]
+    if max(row[3] for row in rows) > LARGE or max(row[2] for row in rows) > LARGE:
+        raise ValueError("too many pieces for the numbers of edges")
+    packed = [(r[2] << RANK) + (r[1] << LENGTH) + (r[3] << ID) + int(r[4]) for r in rows]
     table = spark.createDataFrame(
-        pa.table(
-            {
-                "_piece": [r[0] for r in rows],
-                "_rank": pa.array([r[2] for r in rows], pa.int32()),
-                "_piece_id": pa.array([r[3] for r in rows], pa.int32()),
-                "_better": [r[4] for r in rows],
-            }
-        )
+        pa.table({"_piece": [r[0] for r in rows], "_packed": pa.array(packed, pa.int64())})
     )
     small = len(rows) <= 1_000_000
     return (F.broadcast(table) if small else table), max(r[1] for r in rows)
@@ -285,7 +295,11 @@ def encode(
 
     def write(texts: pa.Table, entries: pa.Table) -> pa.Table:
         merger = Merger(shared.value)
-        known = dict(zip(entries.column("_word").to_pylist(), entries.column("_ids").to_pylist()))
+        pieces_of = zip(entries.column("_word").to_pylist(), entries.column("_pieces").to_pylist())
+        known = {
+            w: merger.encode(w) if found is None else word_ids(w, found, merger)
+            for w, found in pieces_of
+        }
         numbers, plain, made, read = [], [], [], []
         for row in texts.column("_row").to_pylist():
             number, kind, text = row_parts(row)

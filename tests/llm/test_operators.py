@@ -213,7 +213,7 @@ def test_most_words_are_decided_by_the_fold(spark):
     table_, longest = pieces.piece_table(spark, queries.piece_model())
     frame = spark.createDataFrame([(0, w) for w in words], "_block INT, _word STRING")
     found = pieces.encoded_words(frame, table_, longest, ["_block"]).collect()
-    assert sum(r._ids is not None for r in found) >= 6
+    assert sum(r._pieces is not None for r in found) >= 6
 
 
 @pytest.mark.parametrize("passes,window", [(16, 32), (16, 2)])

@@ -70,11 +70,13 @@ def drop_shared_lines(
         ),
         "lines",
     ).where(F.col("_chars") >= min_chars)
-    shared = (
+    # Staged, so that the join to it is between two exchanges, of which a hot line's can be split.
+    shared = stage(
         lines.groupBy("_h", "_g")
         .agg(F.count_distinct(F.struct("_id")).alias("_documents"))
         .where(F.col("_documents") >= min_documents)
-        .select("_h", "_g")
+        .select("_h", "_g"),
+        "shared-lines",
     )
     dropped = (
         lines.join(shared, ["_h", "_g"])

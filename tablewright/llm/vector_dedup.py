@@ -282,7 +282,10 @@ def near_vectors(
         "vector-groups",
     )
     members = grouped.where("component IS NOT NULL")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+    # Staged, so that the join to it is a broadcast or between two exchanges: a large group is split.
+    sizes = stage(
+        members.groupBy("component").agg(F.count(F.lit(1)).alias("_size")), "vector-sizes"
+    )
     tile = F.pmod("_class", F.ceil(F.col("_size") / TILE))
     tiles = stage(
         members.join(sizes, "component")

@@ -61,7 +61,8 @@ class Pieces:
 
     def rows(self) -> list[tuple[str, int, int, int, bool]]:
         """(text, length, rank, id, better): rank 0 has the best score, equal scores are equal;
-        ``better`` says that a piece of at least this score has this one at an end."""
+        ``better`` says that a piece of at least this score has this one at an end, and at the other
+        end a character or a piece that is made earlier, and so can stand there already."""
         ranks = {s: r for r, s in enumerate(sorted({-s for _, s, _ in self.table}))}
         known = {text: ranks[-score] for text, score, _ in self.table}
         better = set()
@@ -69,7 +70,10 @@ class Pieces:
             for cut in range(1, len(text)):
                 a, b = text[:cut], text[cut:]
                 if a in known and b in known:
-                    better.update(x for x in (a, b) if known[x] >= rank and len(x) > 1)
+                    for x, y in ((a, b), (b, a)):
+                        earlier = len(y) == 1 or known[y] <= known[x]
+                        if len(x) > 1 and known[x] >= rank and earlier:
+                            better.add(x)
         return [(text, len(text), known[text], i, text in better) for text, _, i in self.table]
 
 
@@ -135,8 +139,9 @@ SMALL, LARGE = (1 << 6) - 1, (1 << 20) - 1
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str]) -> DataFrame:
-    """``keys, _word, _edges``: the pieces of two characters or more that each word holds, as
-    numbers (see ``RANK``) from the best score down.
+    """``keys, _word, _edges``: the pieces of two characters or more that each word holds, from the
+    best score down: ``packed``, a number (see ``RANK``), with ``own``, the boundaries of its
+    characters but the last, and ``ends``, the first and the last, as bits.
 
     ``words`` has one row for every ``keys`` and ``_word``. Words without such a piece, and those of
     more than ``MAX_CHARS`` characters, have no row.
@@ -148,7 +153,12 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str]) -
         .select("*", F.explode(F.expr(f"sequence(2, least({longest}, _n - _start + 1))")).alias("_chars"))
         .select(*keys, "_word", "_start", F.expr("substring(_word, _start, _chars)").alias("_piece"))
     )
-    edge = F.col("_packed") + F.shiftleft((F.col("_start") - 1).cast("bigint"), START)
+    # Made here, where Spark compiles expressions, and not in the lambdas of the fold.
+    edge = F.struct(
+        (F.col("_packed") + F.shiftleft((F.col("_start") - 1).cast("bigint"), START)).alias("packed"),
+        F.expr("shiftleft(_own, _start - 1)").alias("own"),
+        F.expr("shiftleft(_ends, _start - 1)").alias("ends"),
+    )
     return (
         spans.join(table, "_piece")
         .groupBy(*keys, "_word")
@@ -156,34 +166,11 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str]) -
     )
 
 
-def with_bits(edges: Column) -> Column:
-    """Edges as structs, with their first boundary, all but their last, and their last, as bits of a
-    number."""
-
-    def shifted(number: Column, by: Column) -> Column:
-        return F.call_function("shiftleft", number.cast("bigint"), by)
-
-    def field(e: Column, shift: int, mask: int) -> Column:
-        return F.shiftright(e, shift).bitwiseAND(F.lit(mask)).cast("int")
-
-    def bits(e: Column) -> Column:
-        start, chars = field(e, START, SMALL), field(e, LENGTH, SMALL)
-        return F.struct(
-            e.alias("packed"),
-            (e.bitwiseAND(F.lit(1)) == 1).alias("better"),
-            shifted(F.lit(1), start).alias("low"),
-            shifted(shifted(F.lit(1), chars) - 1, start).alias("own"),
-            shifted(F.lit(1), start + chars).alias("high"),
-        )
-
-    return F.transform(edges, bits)
-
-
 def inner_boundaries(state: Column, e: Column, n: int) -> Column:
     """Whether an edge begins and ends at boundaries of ``state``, which has a bit for each boundary
     between pieces, and has ``n`` - 1 of them inside."""
-    ends = e["low"].bitwiseOR(e["high"])
-    return (state.bitwiseAND(ends) == ends) & (F.bit_count(state.bitwiseAND(e["own"])) == n)
+    inside = F.bit_count(state.bitwiseAND(e["own"])) == n
+    return inside & (state.bitwiseAND(e["ends"]) == e["ends"])
 
 
 def encoded_words(words: DataFrame, table: DataFrame, longest: int, keys: list[str]) -> DataFrame:
@@ -192,19 +179,15 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, keys: list[s
     :class:`Merger`, as are words without a row.
     """
     found = lattice(words, table, longest, keys)
-    found = found.select(
-        *keys, "_word", F.char_length("_word").alias("_n"), with_bits(F.col("_edges")).alias("_e")
-    )
-    edges = F.col("_e")
+    edges = F.col("_edges")
 
     def step(state: Column, e: Column) -> Column:
-        merged = state - (state.bitwiseAND(e["own"]) - e["low"])
-        overtaken = e["better"] & F.exists(
+        # Of the boundaries that are its own, the first, which is among its ends, stays.
+        merged = state.bitwiseXOR(state.bitwiseAND(e["own"])).bitwiseOR(e["ends"])
+        # Earlier edges in the order have the better score. The last bit says that there are such.
+        overtaken = (e["packed"].bitwiseAND(F.lit(1)) == 1) & F.exists(
             edges,
-            lambda other: (
-                F.shiftright(other["packed"], START) < F.shiftright(e["packed"], START)
-            )
-            & inner_boundaries(merged, other, 2),
+            lambda other: inner_boundaries(merged, other, 2) & (other["packed"] < e["packed"]),
         )
         return (
             F.when((state < 0) | ~inner_boundaries(state, e, 2), state)
@@ -212,10 +195,10 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, keys: list[s
             .otherwise(merged)
         )
 
-    start = F.expr("shiftleft(1L, _n + 1) - 1")
-    folded = found.withColumn("_state", F.aggregate("_e", start, step))
+    start = F.expr("shiftleft(1L, char_length(_word) + 1) - 1")
+    folded = found.withColumn("_state", F.aggregate("_edges", start, step))
     state = F.col("_state")
-    chosen = F.filter("_e", lambda e: inner_boundaries(state, e, 1))
+    chosen = F.filter("_edges", lambda e: inner_boundaries(state, e, 1))
     # Start, length and id, so that they come in the order of the text.
     placed = F.transform(
         chosen, lambda e: F.shiftright(e["packed"], ID).bitwiseAND(F.lit((1 << (RANK - ID)) - 1))
@@ -248,7 +231,14 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> tuple[DataFrame, int]:
         raise ValueError("too many pieces for the numbers of edges")
     packed = [(r[2] << RANK) + (r[1] << LENGTH) + (r[3] << ID) + int(r[4]) for r in rows]
     table = spark.createDataFrame(
-        pa.table({"_piece": [r[0] for r in rows], "_packed": pa.array(packed, pa.int64())})
+        pa.table(
+            {
+                "_piece": [r[0] for r in rows],
+                "_packed": pa.array(packed, pa.int64()),
+                "_own": pa.array([(1 << r[1]) - 1 for r in rows], pa.int64()),
+                "_ends": pa.array([(1 << r[1]) + 1 for r in rows], pa.int64()),
+            }
+        )
     )
     small = len(rows) <= 1_000_000
     return (F.broadcast(table) if small else table), max(r[1] for r in rows)

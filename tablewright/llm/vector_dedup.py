@@ -2,7 +2,9 @@
 
 Each pass concatenates the signs of random projections to a key, orders the vectors of a label by
 it, and compares every vector with a bounded window of its neighbours. Close vectors agree on most
-signs, so they stand near each other in most orders; what passes find is united.
+signs, so they stand near each other in most orders; what passes find is united. The mean of a label
+is taken off before projecting, so that a direction that all share leaves the keys apart; cosines are
+those of the vectors as they are. Passes are added until further ones connect nothing new.
 
 Windows do not bound what is found in a large group: all vectors of a group that passes have
 connected are compared with each other afterwards, tile by tile, and counted without making pairs.
@@ -22,8 +24,10 @@ from tablewright.llm.common import components, shuffle_partitions, stage
 
 MIN_COSINE = 0.98
 PASSES = 16
+QUIET = 2  # rounds of passes without a new link, after which no more are made
 WINDOW = 32
-KEY_BITS = 32
+KEY_BITS = 32  # of a key at least; four more for each doubling of the largest label
+MEANS = 256  # labels whose sums a task keeps at once
 TILE = 128
 ROWS_PER_TASK = 50_000
 SEED = 7
@@ -39,8 +43,8 @@ def _matrix(vectors: list[bytes], kind: str) -> np.ndarray:
     return made / np.linalg.norm(made, axis=1, keepdims=True)
 
 
-def _signs(seed: int, pass_: int, dim: int) -> np.ndarray:
-    return np.random.default_rng([seed, pass_, dim]).standard_normal((dim, KEY_BITS))
+def _signs(seed: int, pass_: int, dim: int, bits: int) -> np.ndarray:
+    return np.random.default_rng([seed, pass_, dim]).standard_normal((dim, bits))
 
 
 class _Forest:
@@ -79,8 +83,48 @@ def _encode(kind: str):
     return run
 
 
-def _project(kind: str, passes: int, seed: int):
-    """Every vector once per pass, with the key of that pass."""
+def _sums(kind: str):
+    """Sums of the unit vectors of each label and length, some rows of each per task."""
+
+    def rows(sums):
+        keys, made = list(sums), list(sums.values())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+             pa.array([m[0].tobytes() for m in made], pa.binary()),
+             pa.array([m[1] for m in made], pa.int64())],
+            ["_label", "_length", "_sum", "_count"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            places: dict[tuple[str, int], list[bytes]] = {}
+            for label, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                places.setdefault((label, len(vector)), []).append(vector)
+            for key, vectors in places.items():
+                total = _matrix(vectors, kind).sum(axis=0)
+                known = sums.setdefault(key, [np.zeros(len(total)), 0])
+                known[0] = known[0] + total
+                known[1] += len(vectors)
+            if len(sums) > MEANS:
+                yield rows(sums)
+                sums = {}
+        if sums:
+            yield rows(sums)
+
+    return run
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py()) for x in table.column("_sum"))
+    mean = total / sum(table.column("_count").to_pylist())
+    return table.slice(0, 1).select(["_label", "_length"]).append_column(
+        "_mean", pa.array([mean.tobytes()], pa.binary())
+    )
+
+
+def _project(kind: str, passes: range, seed: int, bits: int):
+    """Every vector once per pass, with the key of that pass, which is made without the mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], np.ndarray] = {}
@@ -91,8 +135,9 @@ def _project(kind: str, passes: int, seed: int):
                 rows = np.flatnonzero(lengths == length)
                 unit = _matrix([vectors[i] for i in rows], kind)
                 part = batch.take(pa.array(rows))
-                for p in range(passes):
-                    at = (p, unit.shape[1])
+                unit -= np.frombuffer(b"".join(part.column(3).to_pylist())).reshape(unit.shape)
+                for p in passes:
+                    at = (p, unit.shape[1], bits)
                     plane = known[at] if at in known else known.setdefault(at, _signs(seed, *at))
                     keys = np.packbits(unit @ plane > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
@@ -222,7 +267,8 @@ def near_vectors(
     """``_id, n_links, component_id`` for every row of ``vectors``.
 
     Two vectors of one label and length are linked at a cosine of ``min_cosine`` or more, computed
-    in double precision. ``n_links`` counts the other rows that a row links with, exact copies
+    in double precision. Pairs are found by ``passes`` passes and as many again until ``QUIET`` times
+    in a row these connect nothing new, so a pair that no pass brings together may be missed. ``n_links`` counts the other rows that a row links with, exact copies
     included; ``component_id`` is the smallest id that links lead to.
 
     Rows that link with nothing (NULL id, label or vector, NULL or non-finite components, all
@@ -247,26 +293,43 @@ def near_vectors(
         ),
         "vector-classes",
     )
-    n_rows = classes.count() * passes
-    n_tasks = max(shuffle_partitions(spark), -(-n_rows // ROWS_PER_TASK))
-    order = ["_pass", "_label", F.length("_vec"), "_key", "_node"]
-    compared = stage(
-        classes.select("_label", "_node", "_vec")
-        .mapInArrow(
-            _project(kind, passes, seed),
-            "_pass INT, _label STRING, _key BINARY, _node BIGINT, _vec BINARY",
-        )
-        .repartitionByRange(n_tasks, *order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(_compare(kind, window, min_cosine), _FOUND),
-        "vector-windows",
+    length = F.length("_vec")
+    means = stage(
+        classes.select("_label", "_vec")
+        .mapInArrow(_sums(kind), "_label STRING, _length INT, _sum BINARY, _count BIGINT")
+        .groupBy("_label", "_length")
+        .applyInArrow(_mean, "_label STRING, _length INT, _mean BINARY"),
+        "vector-means",
     )
-    inside = compared.where("u IS NOT NULL").select("u", "v")
-    across = (
-        compared.where("u IS NULL")
-        .groupBy("_boundary")
-        .applyInArrow(_across(kind, min_cosine), "u BIGINT, v BIGINT")
+    total, largest = (
+        classes.groupBy("_label").agg(F.count(F.lit(1)).alias("_k")).agg(F.sum("_k"), F.max("_k")).first()
     )
+    bits = -(-(KEY_BITS + 4 * (largest or 0).bit_length()) // 8) * 8
+    n_tasks = max(shuffle_partitions(spark), -(-(total or 0) * passes // ROWS_PER_TASK))
+    # Ties of keys are ordered anew in each pass.
+    order = ["_pass", "_label", length, "_key", F.xxhash64("_node", "_pass"), "_node"]
+
+    def links_of(numbers: range) -> DataFrame:
+        compared = stage(
+            classes.select("_label", "_node", "_vec", length.alias("_length"))
+            .join(means, ["_label", "_length"])
+            .select("_label", "_node", "_vec", "_mean")
+            .mapInArrow(
+                _project(kind, numbers, seed, bits),
+                "_pass INT, _label STRING, _key BINARY, _node BIGINT, _vec BINARY",
+            )
+            .repartitionByRange(n_tasks, *order)
+            .sortWithinPartitions(*order)
+            .mapInArrow(_compare(kind, window, min_cosine), _FOUND),
+            "vector-windows",
+        )
+        across = (
+            compared.where("u IS NULL")
+            .groupBy("_boundary")
+            .applyInArrow(_across(kind, min_cosine), "u BIGINT, v BIGINT")
+        )
+        return stage(compared.where("u IS NOT NULL").select("u", "v").unionAll(across), "vector-pairs")
+
     # An id that is repeated with another vector connects both classes.
     repeated = usable.groupBy("_id").agg(F.count(F.lit(1)).alias("_r")).where("_r > 1").select("_id")
     same_id = (
@@ -274,7 +337,26 @@ def near_vectors(
         .join(classes, ["_label", "_vec"])
         .select(F.col("_id").alias("u"), F.col("_node").alias("v"))
     )
-    found = components(inside.unionAll(across).unionAll(same_id), "vector-links")
+    edges = links_of(range(passes)).unionAll(same_id)
+    found = stage(components(edges, "vector-links"), "vector-found")
+    done, quiet = passes, 0
+    # A label that one window holds is compared whole by the first pass.
+    while (largest or 0) > window + 1 and quiet < QUIET:
+        more = links_of(range(done, done + passes))
+        done += passes
+        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        new = (
+            more.join(of("u"), "u", "left")
+            .join(of("v"), "v", "left")
+            .select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+            .where("u != v")
+        )
+        if new.isEmpty():
+            quiet += 1
+            continue
+        quiet = 0
+        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = stage(components(known.unionAll(new), "vector-links"), "vector-found")
     grouped = stage(
         classes.join(found, F.col("_node") == F.col("node"), "left").select(
             "_label", "_vec", "_node", "_n", "component", F.xxhash64("_label", "_vec").alias("_class")

@@ -12,6 +12,7 @@ from tablewright.llm import (
     language_id,
     line_dedup,
     mixing,
+    periodic_runs,
     pieces,
     quality,
     simhash,
@@ -312,3 +313,32 @@ SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(s.key) AS n_dro
            AS kept_sha256
 FROM k LEFT JOIN shared s USING (key) GROUP BY i
 """
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """The runs of every document, a tenth of which is made periodic first."""
+    documents = table(spark, directory, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(documents, repeat_from=(periodic_runs.damage, "doc_id"))
+    greatest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    )
+    line = F.transform(
+        "runs",
+        lambda r: F.concat_ws(
+            ",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")
+        ),
+    )
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    best = found.withColumns({"_best": greatest, "_lines": lines})
+    length, period = F.col("_best.length"), -F.col("_best.col3")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("_lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )

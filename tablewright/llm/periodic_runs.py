@@ -29,25 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.common import with_free_name
+from tablewright.llm.words import split_words
 
 LEAST_LENGTH, LEAST_EXPONENT = 6, 4
 GROUP_BYTES = 2 << 20  # of texts that a task looks at together
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts (NULL: none) in one array, and where those of each text begin."""
-    trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(trimmed)
-    # A text without words gives one empty word.
-    none = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
-    sizes = np.where(none, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    words = pc.list_flatten(lists)
-    if none.any():
-        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
-    return words, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-
-
 def numbered(words: pa.Array) -> np.ndarray:
     """Equal words as equal numbers."""
     return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)

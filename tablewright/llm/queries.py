@@ -17,6 +17,8 @@ from tablewright.llm import (
     quality,
     simhash,
     suffix_tree,
+    toxic_spans,
+    turn_repair,
     vector_dedup,
 )
 from tablewright.llm.common import n_words
@@ -315,6 +317,125 @@ FROM k LEFT JOIN shared s USING (key) GROUP BY i
 """
 
 
+@_query
+def op11_turn_repair(spark: SparkSession, directory: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, some rows of which are damaged first."""
+    conversations = table(spark, directory, "conversations")
+    repair = turn_repair.repair(turn_repair.damaged(conversations))
+    ids = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    made = ids.join(repair.summaries, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    number = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return made.select(
+        "conv_id",
+        *(number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _least(*found: str) -> str:
+    return f"list_min([{', '.join(found)}])"
+
+
+def _edit(state: str, cost: str, letter: str, when: str = "true") -> str:
+    return (
+        f"CASE WHEN {state} IS NOT NULL AND {when}"
+        f" THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}} END"
+    )
+
+
+# The repair once more, over the states nothing, s, u and a: v0 to v3 hold the least (cost, audit).
+_KEEPS = "kind NOT IN ('blank', 'duplicate')"
+_COST = "(CASE WHEN kind = 'truncated' THEN 5 ELSE 0 END)"
+_TO_USER = [_edit(v, f"1 + {_COST}", "R", _KEEPS) for v in ("i0", "i1", "i3")]
+_KEPT_USER = [_edit(v, _COST, "K", f"{_KEEPS} AND role[1] = 'u'") for v in ("i0", "i1", "i3")]
+ORACLES["op11_turn_repair"] = f"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(
+        list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), c AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(4294967295, list_transform(
+               string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+               lambda x: ord(x)::BIGINT)), lambda a, b: xor(a // 256, t[1 + xor(a, b) % 256])),
+               4294967295) % 20 AS fate
+    FROM conversations, crc
+), e AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM c WHERE fate != 0
+), n AS (
+    SELECT *, coalesce(conv_id::VARCHAR, '') AS k, row_number() OVER w AS i,
+           lag(role[1]) OVER w || role[1] AS pair,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+           right(rtrim(text, {SPACES}), 1) AS ending
+    FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)
+), r AS (
+    SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                   WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind
+    FROM n
+), p AS (
+    SELECT DISTINCT k, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS v0,
+           NULL::STRUCT(c INTEGER, a VARCHAR) AS v1, NULL::STRUCT(c INTEGER, a VARCHAR) AS v2,
+           NULL::STRUCT(c INTEGER, a VARCHAR) AS v3
+    FROM r
+    UNION ALL
+    SELECT k, i + 1, {_edit("i0", "2", "D")},
+           {_least(_edit("i1", "2", "D"), _edit("i0", _COST, "K", f"{_KEEPS} AND role[1] = 's'"))},
+           {_least(_edit("i2", "2", "D"), *_KEPT_USER, *_TO_USER)},
+           {_least(
+               _edit("i3", "2", "D"),
+               _edit("i2", _COST, "K", f"{_KEEPS} AND role[1] = 'a'"),
+               _edit("i2", f"1 + {_COST}", "R", _KEEPS),
+           )}
+    FROM (
+        SELECT *, {_least("v3", _edit("i2", "5", "I"))} AS i3
+        FROM (
+            SELECT p.k, p.i, v0 AS i0, v1 AS i1, v3, role, kind,
+                   {_least("v2", *(_edit(v, "5", "I") for v in ("v0", "v1", "v3")))} AS i2
+            FROM p JOIN r ON r.k = p.k AND r.i = p.i + 1
+        )
+    )
+), f AS (
+    SELECT k, {_least("v0", _least("v3", _edit("i2", "5", "I")))} AS best
+    FROM (SELECT *, {_least("v2", *(_edit(v, "5", "I") for v in ("v0", "v1", "v3")))} AS i2
+          FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1)
+), a AS (
+    SELECT k, letter, pos, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER w AS i,
+           sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER w AS j
+    FROM (SELECT k, unnest(string_split(best.a, '')) AS letter,
+                 generate_subscripts(string_split(best.a, ''), 1) AS pos FROM f WHERE best.a != '')
+    WINDOW w AS (PARTITION BY k ORDER BY pos)
+), t AS (
+    SELECT a.k, pos, j, letter, role, text,
+           max(CASE WHEN j = 1 AND letter = 'K' AND role[1] = 's' THEN 1 ELSE 0 END)
+               OVER (PARTITION BY a.k) AS begins
+    FROM a LEFT JOIN r ON r.k = a.k AND r.i = a.i
+    WHERE letter != 'D'
+), s AS (
+    SELECT k, sha256(string_agg(
+        CASE WHEN letter = 'K' THEN role WHEN (j - begins) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos)) AS sha
+    FROM t GROUP BY k
+), g AS (
+    SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate,
+           count(*) FILTER (kind = 'truncated') AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM r GROUP BY k
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN g ON g.k = coalesce(o.conv_id::VARCHAR, '')
+LEFT JOIN f ON f.k = g.k LEFT JOIN s ON s.k = g.k
+"""
+
+
 @_query
 def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
     """The runs of every document, a tenth of which is made periodic first."""
@@ -342,3 +463,18 @@ def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2("_lines", 256).alias("runs_sha256"),
         F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
     )
+
+
+@_query
+def op13_toxic_spans(spark: SparkSession, directory: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of those that are not held out."""
+    documents = table(spark, directory, "documents").select("doc_id", "text")
+    held_out = toxic_spans.held_out(F.col("doc_id"))
+    model = toxic_spans.fit(documents.where(~held_out), table(spark, directory, "labels"))
+    return toxic_spans.score(documents, model).select(
+        "doc_id",
+        toxic_spans.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        "spans",
+    )

@@ -1,37 +1,37 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The distinct words of a block of texts are exploded into all substrings up to the length of the
-longest piece, joined to the table of pieces, and the edges found are grouped by word again. A fold
-over the edges of a word then picks its pieces, with Spark's higher-order ``aggregate``.
-
-The one public model at hand is of the BPE kind, whose encoder does not look for the path of the
-highest sum of scores (Viterbi gives other pieces for most words), but merges neighbours, best score
-first. So the fold walks the edges from the best score down and merges where an edge spans two
-neighbouring pieces. That is the encoder's own order as long as no merge makes a better one
-possible; the fold notices where one does. Such words, and words of more than ``MAX_CHARS``
-characters, are merged one by one with a queue.
-
-Texts are dealt to blocks by a hash of their id in one shuffle, the only one: words, substrings and
-edges stay in the partition of their block, and so does the last step, which writes the pieces of a
-text from those of its words.
+The distinct words of a group of texts are exploded into all substrings up to the length of the
+longest piece, joined to the table of pieces, and the edges found are grouped by word. A fold over
+the edges of a word then picks its pieces.
+
+Two folds are named here. For models of the unigram kind, :func:`viterbi_words` takes the path of
+the highest sum of scores. The one public model at hand is of the BPE kind, whose encoder does not
+look for that path (Viterbi gives other pieces for most words) but merges neighbours, best score
+first; its fold makes, step by step, the best merge that a word has. Both are written with Spark's
+joins and higher-order ``aggregate`` over a frame of words (:func:`viterbi_words`,
+:func:`encoded_words`).
+
+:func:`encode`, for whole texts, does the same steps in arrays inside a task: substrings are hashes
+of all starts and one length at a time, the join is a lookup in the table of hashes, the fold makes
+one merge of every word in each step. Words need not leave their texts, so nothing is shuffled and a
+task holds one group of texts. The Spark form over all words of a corpus cannot meet the limits that
+the README gives.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablewright.llm.blocks import LEAST_BLOCKS
-
 MARK = "▁"  # stands for a blank
-MAX_CHARS = 60
-WORD = f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
-BLOCK_BYTES = 8 << 20
+MAX_CHARS = 60  # of a word whose boundaries are bits of a number; longer ones are merged by a queue
+GROUP_BYTES = 2 << 20  # of texts that a task looks at together
 
 
 @dataclass(frozen=True)
@@ -126,12 +126,6 @@ class Merger:
         return text[1:] if text.startswith(" ") else text
 
 
-def marked(text: Column) -> Column:
-    """A text as the model reads it: a mark in front, and a mark for every blank."""
-    whole = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(text == "", F.lit("")).otherwise(whole)
-
-
 #: An edge is one number: rank, start, length, id, and whether a better piece may have it at an end.
 #: In the order of these numbers the encoder would merge them.
 RANK, START, LENGTH, ID = 33, 27, 21, 1
@@ -208,21 +202,6 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, keys: list[s
     )
 
 
-def word_ids(word: str, found: list[int], merger: Merger) -> list[int]:
-    """Ids of a word from what :func:`encoded_words` found in it; characters in between stand for
-    themselves."""
-    ids, at = [], 0
-    for piece in found:
-        start = piece >> (START - ID)
-        for char in word[at:start]:
-            ids += merger.char(char)
-        ids.append(piece & LARGE)
-        at = start + (piece >> (LENGTH - ID) & SMALL)
-    for char in word[at:]:
-        ids += merger.char(char)
-    return ids
-
-
 def piece_table(spark: SparkSession, pieces: Pieces) -> tuple[DataFrame, int]:
     """The pieces as rows to join with, and the length of the longest. A model has some ten
     thousand pieces; beyond a million they are not broadcast."""
@@ -244,8 +223,272 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> tuple[DataFrame, int]:
     return (F.broadcast(table) if small else table), max(r[1] for r in rows)
 
 
-def row_parts(row: str) -> tuple[str, str, str]:
-    return re.match(r"([-0-9]*)([nt])(.*)", row, re.DOTALL).groups()
+def viterbi_words(words: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _word, ids, score``: the pieces of the highest sum of scores for every ``keys`` and
+    ``_word``, by a table ``_piece, _score, _id`` of the unigram kind.
+
+    Edges go through the fold by their end, so what leads to their start is known: per boundary the
+    best sum and the pieces up to it. Of equal sums the one whose last piece begins first stays. Words
+    that no path of pieces spells have NULL ids. Words are exploded and joined by substring, grouped by
+    word; a word is one row, so a word is all that a task holds.
+    """
+    longest = table.agg(F.max(F.char_length("_piece"))).scalar()
+    spans = (
+        words.withColumn("_n", F.char_length("_word"))
+        .select("*", F.explode(F.expr("if(_n > 0, sequence(0, _n - 1), array())")).alias("_start"))
+        .withColumn("_longest", longest)
+        .select(
+            "*",
+            F.explode(F.expr("sequence(1, least(_longest, _n - _start))")).alias("_chars"),
+        )
+        .withColumn("_piece", F.expr("substring(_word, _start + 1, _chars)"))
+    )
+    edge = F.struct(
+        (F.col("_start") + F.col("_chars")).alias("end"),
+        F.col("_start").alias("start"),
+        F.col("_id").alias("id"),
+        F.col("_score").alias("score"),
+    )
+    found = (
+        spans.join(table, "_piece")
+        .groupBy(*keys, "_word")
+        .agg(F.sort_array(F.collect_list(edge)).alias("_edges"))
+    )
+    reached = "named_struct('score', {0}, 'ids', {1})"
+    start = F.expr(
+        "transform(sequence(0, char_length(_word)), i -> if(i = 0, "
+        + reached.format("0D", "cast(array() as array<int>)")
+        + ", cast(NULL as struct<score: double, ids: array<int>>)))"
+    )
+
+    def step(state: Column, e: Column) -> Column:
+        before, now = F.get(state, e["start"]), F.get(state, e["end"])
+        total = before["score"] + e["score"]
+        better = before.isNotNull() & (now.isNull() | (total > now["score"]))
+        new = F.struct(
+            total.alias("score"), F.concat(before["ids"], F.array(e["id"].cast("int"))).alias("ids")
+        )
+        replaced = F.transform(state, lambda old, i: F.when(i == e["end"], new).otherwise(old))
+        return F.when(better, replaced).otherwise(state)
+
+    last = F.element_at(F.aggregate("_edges", start, step), -1)
+    folded = found.select(*keys, "_word", last.alias("_last"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_word")]
+    renamed = folded.withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_word")})
+    empty = F.col("_word") == ""
+    return words.join(renamed, same, "left").select(
+        *keys,
+        "_word",
+        F.when(empty, F.array().cast("array<int>")).otherwise(F.col("_last.ids")).alias("ids"),
+        F.when(empty, 0.0).otherwise(F.col("_last.score")).alias("score"),
+    )
+
+
+def scrambled(numbers: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers spread over 64 bits (the finisher of SplitMix64)."""
+    x = numbers.astype(np.uint64) + np.uint64(salt)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
+SALTS = (1, 0x5851F42D4C957F2D)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    made = np.full(n, base, np.uint64)
+    made[:1] = 1
+    return np.multiply.accumulate(made)
+
+
+class Hashes:
+    """Hashes of any stretch of code points from sums up to each place."""
+
+    def __init__(self, points: np.ndarray, salt: int):
+        n = len(points)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(scrambled(points, salt) * powers(BASE, n), out=self.sums[1:])
+        self.back = powers(INVERSE, n + 1)
+
+    def of(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return (self.sums[start + length] - self.sums[start]) * self.back[start]
+
+
+def points_of(texts: pa.Array) -> np.ndarray:
+    """All code points of an array of strings, one text behind the other."""
+    data = b"".join(texts.cast(pa.large_binary()).to_pylist())
+    return np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+
+
+class Lattice:
+    """The table of pieces for lookups by hash, made once in a worker."""
+
+    FILTER_BITS = 22
+
+    def __init__(self, pieces: Pieces):
+        self.merger = Merger(pieces)
+        texts = [text for text, _, _ in pieces.table]
+        ranks = {s: r for r, s in enumerate(sorted({-s for _, s, _ in pieces.table}))}
+        sizes = np.array([len(t) for t in texts], np.int64)
+        points = points_of(pa.array(texts, pa.string()))
+        start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        first, second = (Hashes(points, salt).of(start, sizes) for salt in SALTS)
+        order = np.argsort(first)
+        self.first, self.second, self.sizes = first[order], second[order], sizes[order]
+        self.ranks = np.array([ranks[-s] for _, s, _ in pieces.table], np.int64)[order]
+        self.ids = np.array([i for _, _, i in pieces.table], np.int64)[order]
+        if (self.first[1:] == self.first[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        self.longest = int(sizes.max(initial=1))
+        #: Most substrings are no piece; this tells most of them at once.
+        self.maybe = np.zeros(1 << self.FILTER_BITS, bool)
+        self.maybe[self.first >> np.uint64(64 - self.FILTER_BITS)] = True
+        octets = {i: bytes([o]) for o, i in enumerate(pieces.byte_ids)}
+        known = {i: text.encode() for text, _, i in pieces.table}
+        last = max([*octets, *known], default=0)
+        self.texts = pa.array(
+            [known.get(i) or octets.get(i, b"") for i in range(last + 1)], pa.large_binary()
+        )
+
+    def lookup(self, first: np.ndarray) -> np.ndarray:
+        """The row of the piece that has a hash, or -1."""
+        maybe = np.flatnonzero(self.maybe[first >> np.uint64(64 - self.FILTER_BITS)])
+        row = np.full(len(first), -1)
+        at = np.searchsorted(self.first, first[maybe])
+        at[at == len(self.first)] = 0
+        found = self.first[at] == first[maybe] if len(self.first) else np.zeros(len(maybe), bool)
+        row[maybe[found]] = at[found]
+        return row
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one behind the other, and where those of each word begin."""
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        long = np.flatnonzero(sizes > MAX_CHARS)
+        short = np.flatnonzero(sizes <= MAX_CHARS)
+        ids, counts = self.encode_short(words.take(pa.array(short)), sizes[short])
+        all_counts = np.zeros(len(words), np.int64)
+        all_counts[short] = counts
+        queued = [self.merger.encode(words[int(i)].as_py()) for i in long]
+        all_counts[long] = [len(q) for q in queued]
+        begins = np.concatenate([[0], np.cumsum(all_counts)])
+        made = np.zeros(begins[-1], np.int32)
+        made[positions(begins[:-1][short], counts)] = ids
+        for i, q in zip(long, queued):
+            made[begins[i] : begins[i + 1]] = q
+        return made, begins
+
+    def encode_short(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        points = points_of(words)
+        begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        word_of = np.repeat(np.arange(len(sizes)), sizes)
+        hashes = [Hashes(points, salt) for salt in SALTS]
+        state = self.merged(points, begins, word_of, hashes)
+        # A piece begins wherever a boundary is left.
+        place = np.arange(len(points)) - begins[word_of]
+        start = np.flatnonzero((state[word_of] >> place) & 1)
+        length = np.diff(np.append(start, len(points)))
+        row = self.lookup(hashes[0].of(start, length))
+        known = row >= 0
+        # Only single characters can be no piece; their bytes are.
+        counts = np.ones(len(start), np.int64)
+        characters = {int(p): self.merger.char(chr(p)) for p in np.unique(points[start[~known]])}
+        counts[~known] = [len(characters[int(p)]) for p in points[start[~known]]]
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.zeros(offsets[-1], np.int32)
+        ids[offsets[:-1][known]] = self.ids[row[known]]
+        for at, p in zip(offsets[:-1][~known], points[start[~known]]):
+            octets = characters[int(p)]
+            ids[at : at + len(octets)] = octets
+        per_word = np.bincount(word_of[start], counts, len(sizes)).astype(np.int64)
+        return ids, per_word
+
+    def merged(
+        self, points: np.ndarray, begins: np.ndarray, word_of: np.ndarray, hashes: list[Hashes]
+    ) -> np.ndarray:
+        """For every word the boundaries between its pieces, as bits, when no merge is left."""
+        sizes = np.diff(begins)
+        state = (np.int64(1) << (sizes + 1)) - 1
+        room = begins[1:][word_of] - np.arange(len(points))
+        starts, rows = [], []
+        at = np.arange(len(points))
+        for length in range(2, self.longest + 1):
+            at = at[room[at] >= length]
+            if not len(at):
+                break
+            row = self.lookup(hashes[0].of(at, length))
+            hit = np.flatnonzero(row >= 0)
+            starts.append(at[hit])
+            rows.append(row[hit])
+        if not starts:
+            return state
+        start, row = np.concatenate(starts), np.concatenate(rows)
+        length = self.sizes[row]
+        sure = self.second[row] == hashes[1].of(start, length)
+        start, row, length = start[sure], row[sure], length[sure]
+        word = word_of[start]
+        order = np.lexsort([start, self.ranks[row], word])
+        word, begin, length = word[order], (start - begins[word_of[start]])[order], length[order]
+        ends = (np.int64(1) << begin) | (np.int64(1) << (begin + length))
+        inside = ((np.int64(1) << length) - 2) << begin
+        while len(word):
+            now = state[word]
+            within = now & inside
+            # Both ends are boundaries and one boundary is between: the edge joins two pieces.
+            open_ = ((now & ends) == ends) & (within != 0)
+            ready = np.flatnonzero(open_ & ((within & (within - 1)) == 0))
+            of = word[ready]
+            best = ready[np.append(True, of[1:] != of[:-1])] if len(ready) else ready
+            state[word[best]] &= ~inside[best]
+            # Boundaries do not come back; a word without a merge is done.
+            going = np.zeros(len(state), bool)
+            going[word[best]] = True
+            stays = open_ & going[word]
+            word, ends, inside = word[stays], ends[stays], inside[stays]
+        return state
+
+
+def positions(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers ``begins[i]`` to ``begins[i] + counts[i] - 1`` for every i, one behind the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(begins - before, counts) + np.arange(counts.sum())
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts as the model reads them, and how many each text has.
+
+    A text begins with a mark and has a mark for every blank. A word is a line end, or marks with
+    what follows up to the next mark or line end, or what stands at the start of a line.
+    """
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    marked = pc.binary_join_element_wise(
+        pa.scalar(MARK, pa.large_string()),
+        pc.replace_substring(plain, " ", MARK),
+        pa.scalar("", pa.large_string()),
+    )
+    empty = pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
+    sizes = np.where(empty, 0, pc.binary_length(marked).to_numpy(zero_copy_only=False))
+    data = b"".join(pc.if_else(pa.array(empty), "", marked).cast(pa.large_binary()).to_pylist())
+    octets = np.frombuffer(data, np.uint8)
+    begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    n = len(octets)
+    line_end = octets == 0x0A
+    mark = np.zeros(n, bool)
+    sign = MARK.encode()
+    if n > 2:
+        mark[:-2] = (octets[:-2] == sign[0]) & (octets[1:-1] == sign[1]) & (octets[2:] == sign[2])
+    first = line_end.copy()
+    first[1:] |= line_end[:-1]
+    after_mark = np.zeros(n, bool)
+    after_mark[3:] = mark[:-3]
+    first |= mark & ~after_mark
+    first[begins[:-1][sizes > 0]] = True
+    offsets = np.append(np.flatnonzero(first), n).astype(np.int64)
+    words = pa.Array.from_buffers(
+        pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    )
+    return words, np.diff(np.searchsorted(offsets[:-1], begins))
 
 
 def encode(
@@ -253,67 +496,56 @@ def encode(
     pieces: Pieces,
     id_column: str = "doc_id",
     text_column: str = "text",
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``_id, _text, ids, decoded`` for every row of ``documents``: the ids that the model's own
     encoder gives for the whole text, and the text that they decode to.
 
     Decoding gives back every text but one with a mark (U+2581) in it, which becomes a blank. NULL
     and empty texts have no pieces (``_text`` keeps NULL; ``decoded`` is then empty). Repeated rows
-    are encoded each. An empty table gives no rows; other columns are not read.
+    are encoded each, and rows without an id like others. An empty table gives no rows; other columns
+    are not read. Rows do not move.
     """
-    spark = documents.sparkSession
-    n_bytes = documents.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, -(-n_bytes // block_bytes))
-    # One column for the id, whether there is a text ("t") or not ("n"), and the text: words and
-    # texts then need the same columns, and the shuffle is made once for both.
-    text = F.col(text_column)
-    row = F.concat(
-        F.coalesce(F.col(id_column).cast("bigint").cast("string"), F.lit("")),
-        F.when(text.isNull(), "n").otherwise("t"),
-        F.coalesce(text, F.lit("")),
+    shared = documents.sparkSession.sparkContext.broadcast(pieces)
+    read = documents.select(
+        F.col(id_column).cast("bigint").alias("_id"), F.col(text_column).alias("_text")
     )
-    block = F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)).cast("int")
-    rows = documents.select(block.alias("_block"), row.alias("_row")).repartition(blocks, "_block")
-    after_id = F.expr("if(instr(_row, 't') = 0, '', substring(_row, instr(_row, 't') + 1))")
-    found = F.regexp_extract_all(marked(after_id), F.lit(WORD), F.lit(0))
-    words = rows.select("_block", F.explode(found).alias("_word")).distinct()
-    table, longest = piece_table(spark, pieces)
-    dictionary = encoded_words(words, table, longest, ["_block"]).withColumnRenamed("_block", "_of")
-    shared = spark.sparkContext.broadcast(pieces)
-    word = re.compile(WORD)
-
-    def write(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        merger = Merger(shared.value)
-        pieces_of = zip(entries.column("_word").to_pylist(), entries.column("_pieces").to_pylist())
-        known = {
-            w: merger.encode(w) if found is None else word_ids(w, found, merger)
-            for w, found in pieces_of
-        }
-        numbers, plain, made, read = [], [], [], []
-        for row in texts.column("_row").to_pylist():
-            number, kind, text = row_parts(row)
-            ids: list[int] = []
-            for w in word.findall(MARK + text.replace(" ", MARK)) if text else ():
-                found = known.get(w)
-                if found is None:
-                    found = known[w] = merger.encode(w)
-                ids += found
-            numbers.append(int(number) if number else None)
-            plain.append(text if kind == "t" else None)
-            made.append(ids)
-            read.append(merger.decode(ids))
-        return pa.table(
-            {
-                "_id": pa.array(numbers, pa.int64()),
-                "_text": pa.array(plain, pa.string()),
-                "ids": pa.array(made, pa.list_(pa.int32())),
-                "decoded": pa.array(read, pa.string()),
-            }
+
+    def answer(batch: pa.RecordBatch, lattice: Lattice) -> pa.RecordBatch:
+        texts = batch.column(1)
+        words, n_words = words_of(texts)
+        coded = words.dictionary_encode()
+        ids, begins = lattice.encode(coded.dictionary)
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.diff(begins)[number]
+        flat = ids[positions(begins[:-1][number], counts)]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        cuts = upto[np.concatenate([[0], np.cumsum(n_words)])]
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), texts, lists, decoded(flat, cuts, lattice)],
+            ["_id", "_text", "ids", "decoded"],
         )
 
-    return (
-        rows.groupBy("_block")
-        .cogroup(dictionary.groupBy("_of"))
-        .applyInArrow(write, "_id BIGINT, _text STRING, ids ARRAY<INT>, decoded STRING")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(shared.value)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0)
+            group = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // GROUP_BYTES
+            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=np.iinfo(np.int64).max))
+            for a, b in zip(cuts, cuts[1:]):
+                yield answer(batch.slice(a, b - a), lattice)
+
+    return read.mapInArrow(run, "_id BIGINT, _text STRING, ids ARRAY<INT>, decoded STRING")
+
+
+def decoded(ids: np.ndarray, cuts: np.ndarray, lattice: Lattice) -> pa.Array:
+    """The texts of lists of ids; the blank that encoding puts in front is taken away."""
+    parts = lattice.texts.take(pa.array(ids))
+    sizes = pc.binary_length(parts).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])[cuts].astype(np.int64)
+    data = parts.buffers()[2] or pa.py_buffer(b"")
+    whole = pa.Array.from_buffers(
+        pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(offsets), data]
     )
+    blanks = pc.replace_substring(whole, MARK, " ")
+    return pc.utf8_slice_codeunits(blanks, 1).cast(pa.string())

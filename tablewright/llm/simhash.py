@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from tablewright.llm.common import components, stage
+from tablewright.llm.common import components, stage, with_free_name
 
 WORDS = 3
 SEED = 42
@@ -173,3 +173,64 @@ def near_duplicates(
         "_fp", F.coalesce("component", "_node").alias("component_id")
     )
     return rows.join(labelled, "_fp", "left").select("_id", "_fp", "component_id")
+
+
+def with_fingerprints(documents: DataFrame, name: str, text_column: str = "text") -> DataFrame:
+    """All columns of ``documents``, of any type, and the fingerprint of the text under ``name``."""
+    columns = documents.columns
+    schema = documents.select("*", F.lit(0).cast("bigint").alias(name)).schema
+    for field in schema:
+        field.nullable = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([fingerprint(t.as_py()) for t in batch.column(len(columns))], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(columns)], made], [*columns, name]
+            )
+
+    text = F.col(text_column).cast("binary").alias(with_free_name(documents, "text_"))
+    return documents.select("*", text).mapInArrow(run, schema)
+
+
+def drop_near_copies(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    bucket: int = BUCKET,
+) -> DataFrame:
+    """``documents`` with one row of each group whose fingerprints are linked: the one of the
+    smallest id (rows without an id come last), then of the smallest MD5 of the text.
+
+    Groups are of fingerprints and not of ids, so rows that repeat an id and have unlike texts all
+    stay, and rows without an id join the groups of their texts. NULL, empty and blank texts are one
+    group. Of equal rows one stays. Columns may have any type and name; an empty table stays empty.
+    """
+    mark, number = (with_free_name(documents, n) for n in ("fingerprint_", "number_"))
+    # Numbers are given once and written down, so that they name the same rows in both joins.
+    rows = stage(
+        with_fingerprints(documents, mark, text_column).withColumn(
+            number, F.monotonically_increasing_id()
+        ),
+        "fingerprint-rows",
+    )
+    brief = rows.select(
+        F.col(mark).alias("_fp"),
+        F.struct(
+            F.col(id_column).isNull().alias("_none"),
+            F.col(id_column).alias("_id"),
+            F.md5(text_column).alias("_md5"),
+            F.col(number).alias("_nr"),
+        ).alias("_place"),
+    )
+    marks = stage(brief.select("_fp").distinct(), "fingerprint-marks")
+    links = _links(marks.select(F.col("_fp").alias("_node"), "_fp"), bucket)
+    found = components(links, "simhash-groups").select(F.col("node").alias("_fp"), "component")
+    grouped = brief.join(found, "_fp", "left").withColumn("_group", F.coalesce("component", "_fp"))
+    first = grouped.groupBy("_group").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
+    dropped = (
+        grouped.join(first.where("_first != _last").drop("_last"), "_group")
+        .where("_place != _first")
+        .select(F.col("_place._nr").alias(number))
+    )
+    return rows.join(dropped, number, "left_anti").select(*documents.columns)

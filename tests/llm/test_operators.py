@@ -216,6 +216,58 @@ def test_most_words_are_decided_by_the_fold(spark):
     assert sum(r._pieces is not None for r in found) >= 6
 
 
+def test_groups_of_texts_are_encoded_alike(spark, documents, monkeypatch):
+    """However texts come together, each has the ids that it has alone."""
+    import pyarrow as pa
+
+    lattice = pieces.Lattice(queries.piece_model())
+    texts = [d.text for d in documents[:60]] + ["", None, " ", "\n", "a\n\n b", "x" * 200, "é" * 90, "日本 " * 9]
+
+    def ids(group):
+        words, _ = pieces.words_of(pa.array(group, pa.string()))
+        coded = words.dictionary_encode()
+        made, begins = lattice.encode(coded.dictionary)
+        return [made[begins[i] : begins[i + 1]].tolist() for i in coded.indices.to_pylist()]
+
+    together = ids(texts)
+    alone = [word for text in texts for word in ids([text])]
+    assert together == alone and sum(map(len, alone)) > 1000
+
+
+def test_viterbi(spark):
+    """The best path over a table of the unigram kind, against every way to cut a word."""
+    rng = random.Random(6)
+    table_ = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -4.1, "aba": -4.6, "bb": -9.0, "cab": -1.0}
+    words = ["", "a", "ab", "abab", "aabba", "c", "cab", "acabc", "cabcab", "bbbb", "ababababababab"]
+    words += ["".join(rng.choices("abc", [5, 5, 1], k=rng.randint(1, 9))) for _ in range(60)]
+
+    def best(word):
+        found = {0: (0.0, [])}
+        for end in range(1, len(word) + 1):
+            for start in range(end):
+                if start in found and word[start:end] in table_:
+                    score = found[start][0] + table_[word[start:end]]
+                    if end not in found or score > found[end][0] + 1e-12:
+                        found[end] = (score, found[start][1] + [word[start:end]])
+        return found.get(len(word))
+
+    numbers = {text: i for i, text in enumerate(table_)}
+    pieces_ = spark.createDataFrame(
+        [(t, s, numbers[t]) for t, s in table_.items()], "_piece STRING, _score DOUBLE, _id INT"
+    )
+    frame = spark.createDataFrame([(0, w) for w in set(words)], "_block INT, _word STRING")
+    got = {r._word: r for r in pieces.viterbi_words(frame, pieces_, ["_block"]).collect()}
+    assert set(got) == set(words)
+    for word in words:
+        want = best(word)
+        if want is None:
+            assert got[word].ids is None and got[word].score is None
+        else:
+            assert abs(got[word].score - want[0]) < 1e-9
+            assert "".join(list(table_)[i] for i in got[word].ids) == word
+            assert abs(sum(table_[list(table_)[i]] for i in got[word].ids) - want[0]) < 1e-9
+
+
 @pytest.mark.parametrize("passes,window", [(16, 32), (16, 2)])
 def test_vectors(spark, passes, window):
     rng = np.random.default_rng(2)

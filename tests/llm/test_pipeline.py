@@ -50,3 +50,47 @@ def test_stages(spark, directory):
 def test_run(spark, directory):
     out = corpus_pipeline.run(spark, directory).collect()
     assert out and all(r.round_trip and r.n_pieces == len(r.ids) for r in out)
+
+
+CLASHES = (
+    "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, _score STRING, "
+    "_language STRING, score STRING, lang_pred STRING, language_ STRING, facts MAP<STRING, INT>"
+)
+
+
+def clashing(spark, rows):
+    full = [(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e", {"k": 1}) for i, t in rows]
+    return spark.createDataFrame(full, CLASHES)
+
+
+LONG_TEXT = "the same words of a text that is long enough to be told from the others "
+
+
+def test_columns_of_the_user_stay(spark):
+    docs = clashing(spark, [(1, LONG_TEXT * 3), (2, "und dieser ist ein ganz anderer Text"), (3, None)])
+    for name in ("language_id", "line_dedup", "simhash", "mixing"):
+        out = STAGES[name](spark, docs, "")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert (r._score, r._language, r.score, r.lang_pred, r.language_) == ("a", "b", "c", "d", "e")
+            assert r.facts == {"k": 1}
+
+
+def test_repeated_ids_keep_unlike_texts(spark):
+    other = "quite different sentences stand here and share nothing with what stands above "
+    rows = [(1, LONG_TEXT), (1, other), (None, LONG_TEXT), (None, other * 2), (None, other * 2), (7, other)]
+    rows += [(8, None), (9, ""), (None, " ")]
+    kept = STAGES["simhash"](spark, clashing(spark, rows), "").collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=repr)
+    assert got == sorted([(1, LONG_TEXT), (1, other), (None, other * 2), (8, None)], key=repr)
+
+
+def test_rows_without_an_id(spark):
+    """They are no hot key of any stage: each is a text like others."""
+    docs = spark.range(20000).selectExpr(
+        "CAST(NULL AS BIGINT) AS doc_id", "concat('a text with the number ', id) AS text",
+        "'en' AS lang", "'s' AS source", "20L AS n_chars",
+    )
+    encoded = STAGES["pieces"](spark, docs.repartition(6), "")
+    assert encoded.where("round_trip AND doc_id IS NULL").count() == 20000
+    assert encoded.groupBy("ids").count().count() == 20000

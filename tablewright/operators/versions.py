@@ -26,6 +26,15 @@ from pyspark.sql.types import StructType
 
 from tablewright.functions.names import quoted
 from tablewright.operators.export import manifest, write_parquet
+from tablewright.operators.merge import (
+    ACTION,
+    DELETED,
+    KEPT,
+    ROW,
+    Merge,
+    added_rows,
+    changed_rows,
+)
 from tablewright.operators.mutate import (
     Expression,
     as_column,
@@ -36,6 +45,7 @@ from tablewright.operators.mutate import (
 from tablewright.sources import folders
 
 WRITTEN_BY = "_v"
+FILE = "__file"
 LOG_SCHEMA = (
     "version int, operation string, schema string, partition_by array<string>, "
     "n_rows bigint, bytes bigint, n_affected bigint, "
@@ -167,14 +177,20 @@ def _write(
 
 
 def _rows(
-    spark: SparkSession, root: str, entry: _Entry, live: Sequence[tuple[str, int, int]]
+    spark: SparkSession,
+    root: str,
+    entry: _Entry,
+    live: Sequence[tuple[str, int, int]],
+    file_column: str | None = None,
 ) -> DataFrame:
-    """The rows of ``live`` folders, partition columns included."""
+    """The rows of ``live`` folders, partition columns included, and the file of each if asked for."""
+    file = [] if file_column is None else [F.col("_metadata.file_path").alias(file_column)]
     if not live:
-        return spark.createDataFrame([], entry.schema)
+        none = [F.lit(None).cast("string").alias(file_column)] if file else []
+        return spark.createDataFrame([], entry.schema).select("*", *none)
     paths = [f"{_data(root)}/{folder}" for folder, _, _ in live]
     rows = spark.read.schema(entry.schema).option("basePath", _data(root)).parquet(*paths)
-    return rows.select(*map(quoted, entry.schema.names))
+    return rows.select(*map(quoted, entry.schema.names), *file)
 
 
 def create(
@@ -294,6 +310,39 @@ def delete(spark: SparkSession, root: str, where: Expression = "true") -> Commit
     return _rewrite(spark, root, "delete", where, lambda rows: delete_rows(rows, where))
 
 
+def merge(spark: SparkSession, root: str, source: DataFrame, changes: Merge) -> Commit:
+    """``MERGE INTO … USING source``: folders with a row that changes are written again, and the new
+    rows with them. ``source`` is read several times and must give the same rows each time.
+
+    Two source rows that meet one target row are an error, and no version is made.
+    """
+    entry = _entry(spark, root, None)
+    live = _rows(spark, root, entry, entry.folders, file_column=FILE)
+    decided = changed_rows(live, source, changes).where(F.col(ACTION) != KEPT)
+    counts = decided.groupBy(_folder(f"{ROW}.{FILE}"), ACTION).agg(F.count(F.lit(1)).alias("n"))
+    found = [(unquote(row.folder), row[ACTION], row.n) for row in counts.collect()]
+    touched = {folder for folder, _, _ in found}
+    replaced = [folder for folder in entry.folders if folder[0] in touched]
+    kept = [folder for folder in entry.folders if folder[0] not in touched]
+    rows = _rows(spark, root, entry, replaced)
+    new_rows = changed_rows(rows, source, changes).where(F.col(ACTION) != DELETED)
+    if changes.not_matched:
+        everything = _rows(spark, root, entry, entry.folders)
+        new_rows = new_rows.unionAll(added_rows(everything, source, changes))
+    new = _next(spark, root)
+    columns = [F.col(ROW)[name].alias(name) for name in entry.schema.names]
+    made = _write(spark, root, new, new_rows.select(*columns), entry.schema, entry.partition_by)
+    deleted = sum(n for _, action, n in found if action == DELETED)
+    stayed = sum(n for _, n, _ in replaced) - deleted
+    n_inserted = sum(n for _, n, _ in made) - stayed
+    if not touched and not n_inserted:
+        return Commit(entry.version, 0)
+    affected = sum(n for _, _, n in found) + n_inserted
+    return _commit(
+        spark, root, new, "merge", entry.schema, entry.partition_by, kept + made, affected
+    )
+
+
 def history(spark: SparkSession, root: str) -> DataFrame:
     """``version, operation, n_rows, bytes, n_affected`` of every complete version."""
     paths = [f"{_log(root)}/version={v}" for v in versions(spark, root)]

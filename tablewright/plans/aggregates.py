@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.functions.distinct_totals import (
+    kept_sketches,
+    merged_estimates,
+    rollup_distinct,
+)
+from tablewright.functions.percentiles import exact_percentiles
 from tablewright.plans.helpers import n_rows, rounded_avg, rounded_sum, statement
 from tablewright.plans.registry import Tables, query
 
@@ -102,6 +108,36 @@ def grouping_sets(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "p24_distinct_under_rollup",
+    """
+    SELECT o_orderstatus, o_orderpriority,
+           (GROUPING(o_orderstatus) + GROUPING(o_orderpriority))::INTEGER AS level,
+           COUNT(DISTINCT o_custkey) AS n_customers
+    FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)
+    """,
+)
+def distinct_under_rollup(t: Tables) -> DataFrame:
+    """Bitmaps of customers merged up the levels; their keys are dense numbers already."""
+    levels = ["o_orderstatus", "o_orderpriority"]
+    return rollup_distinct(t.orders, levels, "o_custkey", "n_customers", F.col("o_custkey"))
+
+
+@query(
+    "p24_distinct_prices_under_rollup",
+    """
+    SELECT l_returnflag, l_linestatus,
+           (GROUPING(l_returnflag) + GROUPING(l_linestatus))::INTEGER AS level,
+           COUNT(DISTINCT l_extendedprice) AS n_prices
+    FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
+    """,
+)
+def distinct_prices_under_rollup(t: Tables) -> DataFrame:
+    """The same for values that are no dense numbers: they are numbered first."""
+    levels = ["l_returnflag", "l_linestatus"]
+    return rollup_distinct(t.lineitem, levels, "l_extendedprice", "n_prices")
+
+
 @query(
     "p25_statistics",
     """
@@ -139,6 +175,21 @@ def percentiles(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "p25_percentiles_of_many_values",
+    """
+    SELECT l_returnflag, ROUND(MEDIAN(l_extendedprice), 4) AS middle,
+           ROUND(QUANTILE_CONT(l_extendedprice, 0.9), 4) AS p90
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def percentiles_of_many_values(t: Tables) -> DataFrame:
+    """Prices hardly repeat, so they are selected by rounds of counting and not kept in a buffer."""
+    found = exact_percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", [0.5, 0.9])
+    at = lambda f: F.round(F.max(F.when(F.col("fraction") == f, F.col("percentile"))), 4)
+    return found.groupBy("l_returnflag").agg(at(0.5).alias("middle"), at(0.9).alias("p90"))
+
+
 @query(
     "p26_approx_count_distinct",
     """
@@ -161,6 +212,26 @@ def approx_count_distinct(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "p26_kept_sketches",
+    """
+    SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP AS quarter,
+           COUNT(DISTINCT o_custkey) AS exact, TRUE AS close
+    FROM orders GROUP BY 1
+    """,
+)
+def sketches_that_are_kept(t: Tables) -> DataFrame:
+    """Sketches are made and stored by month; quarters are merged from them and not counted again.
+    Compared is that the estimate is within a tenth of the count."""
+    month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")
+    quarter = lambda c: F.date_trunc("quarter", c).cast("timestamp_ntz").alias("quarter")
+    monthly = kept_sketches(t.orders, [month], "o_custkey")
+    estimates = merged_estimates(monthly, [quarter("month")], "estimate")
+    exact = t.orders.groupBy(quarter("o_orderdate")).agg(F.count_distinct("o_custkey").alias("exact"))
+    close = F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 0.1
+    return exact.join(estimates, "quarter").select("quarter", "exact", close.alias("close"))
+
+
 @query(
     "p27_bool_aggregates",
     """

@@ -8,6 +8,7 @@ from tablewright.operators import versions
 from tablewright.operators.changes import as_of
 from tablewright.operators.export import export_parquet, summarize
 from tablewright.operators.governed import governed, governed_view
+from tablewright.operators.merge import Delete, Insert, Merge, Update, merge_rows
 from tablewright.operators.mutate import append_rows, delete_rows, update_rows
 from tablewright.operators.profile import profile
 from tablewright.operators.render import preview, rows_as_json, rows_as_text
@@ -386,3 +387,65 @@ def _versioned(t: Tables, rows: DataFrame, partition_by: list[str] | None = None
     versions.create(t.spark, root, rows.schema, partition_by or [])
     versions.append(t.spark, root, rows)
     return root
+
+
+# Orders as their lines say, and one opening order for every customer.
+CHANGES = """
+SELECT l_orderkey AS o_orderkey, l_orderkey AS o_custkey, COUNT(*) AS n_lines,
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(15, 2))) AS DOUBLE) AS total,
+       MIN(l_returnflag) AS flag
+FROM lineitem GROUP BY l_orderkey
+UNION ALL
+SELECT -1 - c_custkey, c_custkey, 0, c_acctbal, CASE WHEN c_acctbal < 0 THEN 'R' ELSE 'N' END FROM customer
+"""
+
+MERGED = f"""
+    WITH s AS ({CHANGES})
+    SELECT o.o_orderkey, o.o_custkey,
+           CASE WHEN s.o_orderkey IS NULL AND o_orderstatus = 'O' THEN 'E' ELSE o_orderstatus END
+               AS o_orderstatus,
+           CASE WHEN n_lines >= 3 THEN total ELSE o_totalprice END AS o_totalprice,
+           o_orderdate, o_orderpriority
+    FROM orders o LEFT JOIN s USING (o_orderkey)
+    WHERE NOT coalesce(flag = 'R' AND n_lines < 3, FALSE)
+    UNION ALL
+    SELECT o_orderkey, o_custkey, 'N', total, NULL, '5-LOW' FROM s WHERE o_orderkey < 0 AND flag = 'N'
+    """
+
+
+def _merge() -> Merge:
+    return Merge(
+        on=["o_orderkey"],
+        matched=[
+            Update({"o_totalprice": "source.total"}, "source.n_lines >= 3"),
+            Delete("source.flag = 'R'"),
+        ],
+        not_matched=[
+            Insert(
+                {
+                    "o_orderkey": "source.o_orderkey",
+                    "o_custkey": "source.o_custkey",
+                    "o_orderstatus": "'N'",
+                    "o_totalprice": "source.total",
+                    "o_orderpriority": "'5-LOW'",
+                },
+                "source.flag = 'N'",
+            )
+        ],
+        not_matched_by_source=[Update({"o_orderstatus": "'E'"}, "target.o_orderstatus = 'O'")],
+    )
+
+
+@query("p52_merge", MERGED)
+def merge(t: Tables) -> DataFrame:
+    """``MERGE`` of whole orders with changes counted from all their lines."""
+    changes = statement(t, CHANGES, "lineitem", "customer")
+    return merge_rows(t.orders, changes, _merge())
+
+
+@query("p52_merge_versioned", MERGED)
+def merge_versioned(t: Tables) -> DataFrame:
+    """The same on a versioned table: folders without a change are kept as they are."""
+    root = _versioned(t, t.orders, ["o_orderpriority"])
+    versions.merge(t.spark, root, statement(t, CHANGES, "lineitem", "customer"), _merge())
+    return versions.read(t.spark, root)

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tablewright.functions.fixpoint import reached
+from tablewright.functions.intervals import within_before
+from tablewright.functions.order_totals import totals_below
 from tablewright.functions.skew import (
     SLICE,
     earlier_slices,
@@ -17,6 +20,7 @@ from tablewright.functions.skew import (
     slice_window,
     with_carry,
 )
+from tablewright.functions.skew_join import full_outer_join as skew_full_outer_join
 from tablewright.plans.helpers import n_rows, statement
 from tablewright.plans.registry import Tables, query
 from tablewright.session import isolated_session
@@ -103,6 +107,27 @@ def full_outer_join(t: Tables) -> DataFrame:
     return ordered.join(per_month(t.lineitem, "l_shipdate", "n_shipped"), "month", "full")
 
 
+@query(
+    "p10_full_outer_join_hot_keys",
+    """
+    SELECT c_custkey, s_suppkey, p_partkey
+    FROM (SELECT c_custkey, s_suppkey, coalesce(c_nationkey, s_nationkey) AS nation
+          FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey)
+    FULL JOIN part ON nation = p_size
+    """,
+)
+def full_outer_join_hot_keys(t: Tables) -> DataFrame:
+    """A key has many rows on both sides, and the second join has sizes beyond the nations."""
+    people = skew_full_outer_join(
+        t.customer.select("c_custkey", "c_nationkey"),
+        t.supplier.select("s_suppkey", "s_nationkey"),
+        [("c_nationkey", "s_nationkey")],
+    ).withColumn("nation", F.coalesce("c_nationkey", "s_nationkey"))
+    parts = t.part.select("p_partkey", "p_size")
+    joined = skew_full_outer_join(people, parts, [("nation", "p_size")])
+    return joined.select("c_custkey", "s_suppkey", "p_partkey")
+
+
 @query(
     "p11_semi_join",
     """
@@ -170,6 +195,47 @@ def theta_join(t: Tables) -> DataFrame:
     return joined.groupBy("band").agg(n_rows().alias("n"), F.max("o_totalprice").alias("top"))
 
 
+@query(
+    "p13_inequality_join",
+    """
+    SELECT c_custkey, COUNT(s_suppkey) AS n_below,
+           SUM(s_acctbal::DECIMAL(15, 2))::DOUBLE AS balance_below
+    FROM customer LEFT JOIN supplier ON s_acctbal < c_acctbal GROUP BY c_custkey
+    """,
+)
+def inequality_join(t: Tables) -> DataFrame:
+    """For every customer the suppliers of a smaller balance: no nested loop and no pairs."""
+    balance = F.col("s_acctbal").cast("decimal(15,2)")
+    sums = {"n": F.lit(1), "total": balance}
+    joined = totals_below(
+        t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", t.supplier, "s_acctbal", sums
+    )
+    return joined.select(
+        "c_custkey",
+        F.coalesce("n", F.lit(0)).alias("n_below"),
+        F.col("total").cast("double").alias("balance_below"),
+    )
+
+
+@query(
+    "p13_inequality_join_same_table",
+    """
+    SELECT a.s_suppkey, COUNT(b.s_suppkey) AS n_below,
+           SUM(b.s_acctbal::DECIMAL(15, 2))::DOUBLE AS balance_below
+    FROM supplier a LEFT JOIN supplier b ON b.s_acctbal < a.s_acctbal GROUP BY a.s_suppkey
+    """,
+)
+def inequality_join_same_table(t: Tables) -> DataFrame:
+    sums = {"n": F.lit(1), "total": F.col("s_acctbal").cast("decimal(15,2)")}
+    suppliers = t.supplier.select("s_suppkey", "s_acctbal")
+    joined = totals_below(suppliers, "s_acctbal", t.supplier, "s_acctbal", sums)
+    return joined.select(
+        "s_suppkey",
+        F.coalesce("n", F.lit(0)).alias("n_below"),
+        F.col("total").cast("double").alias("balance_below"),
+    )
+
+
 @query(
     "p14_interval_join",
     """
@@ -192,6 +258,24 @@ def interval_join(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "p14_interval_join_repeated_keys",
+    """
+    SELECT e.event_id, COUNT(b.event_id) AS n_hour_before, MAX(b.value) AS top_hour_before
+    FROM events e LEFT JOIN events b
+      ON b.user_id = e.user_id AND b.ts >= e.ts - INTERVAL 1 HOUR AND b.ts < e.ts
+    GROUP BY e.event_id
+    """,
+)
+def interval_join_repeated_keys(t: Tables) -> DataFrame:
+    """What each user did in the hour before each event; users repeat on both sides."""
+    events = t.events.select("event_id", "user_id", "ts")
+    earlier = t.events.select("user_id", "ts", "value")
+    aggregates = {"n_hour_before": "count(r)", "top_hour_before": "max(r.value)"}
+    joined = within_before(events, earlier, ["user_id"], "ts", "1 hour", aggregates)
+    return joined.select("event_id", *aggregates)
+
+
 @query(
     "p15_as_of_join",
     """
@@ -395,3 +479,33 @@ def recursive_cte(t: Tables) -> DataFrame:
         "SELECT start, coalesce(n, 0) AS n FROM quarters LEFT JOIN counted ON start = q",
         "orders",
     )
+
+
+@query(
+    "p19_recursion_over_rows",
+    """
+    WITH RECURSIVE links AS (
+      SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target
+      FROM lineitem a JOIN lineitem b
+        ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+    walk AS (
+      SELECT DISTINCT p_partkey AS node, 0 AS round FROM part
+      WHERE p_retailprice = (SELECT MAX(p_retailprice) FROM part)
+      UNION
+      SELECT target, round + 1 FROM walk JOIN links ON node = source WHERE round < 40)
+    SELECT node, MIN(round) AS round FROM walk GROUP BY node
+    """,
+)
+def recursion_over_rows(t: Tables) -> DataFrame:
+    """Parts that the dearest part leads to, where a part leads to the one on the next line of an
+    order, with the least number of steps."""
+    here = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source"))
+    after = t.lineitem.select(
+        "l_orderkey",
+        (F.col("l_linenumber") - 1).alias("l_linenumber"),
+        F.col("l_partkey").alias("target"),
+    )
+    links = here.join(after, ["l_orderkey", "l_linenumber"]).select("source", "target")
+    dearest = t.part.select(F.max("p_retailprice")).scalar()
+    seeds = t.part.where(F.col("p_retailprice") == dearest).select(F.col("p_partkey").alias("node"))
+    return reached(links, seeds)

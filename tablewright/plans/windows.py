@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tablewright.functions.intervals import within_before
 from tablewright.functions.skew import (
     SLICE,
     earlier_slices,
@@ -15,6 +16,7 @@ from tablewright.functions.skew import (
     running_totals,
     slice_window,
     with_carry,
+    with_rows_before,
 )
 from tablewright.plans.helpers import n_rows
 from tablewright.plans.registry import Tables, query
@@ -184,6 +186,39 @@ def rows_frame(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "p31_rows_frame_bounded",
+    """
+    SELECT event_id, user_id, COUNT(value) OVER w AS n_of_three,
+           (SUM(value::DECIMAL(12, 2)) OVER w)::DOUBLE AS sum_of_three
+    FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+    """,
+)
+def rows_frame_bounded(t: Tables) -> DataFrame:
+    """A frame of three rows; a slice of a hot user also holds the two rows before it."""
+    keys, order = ["user_id"], ["ts", "event_id"]
+
+    def three(rows: DataFrame, part: Window) -> DataFrame:
+        frame = part.orderBy(*order).rowsBetween(-2, Window.currentRow)
+        total = F.sum(F.col("value").cast("decimal(12,2)")).over(frame)
+        return rows.select(
+            "*", F.count("value").over(frame).alias("n_of_three"), total.alias("sum_of_three")
+        )
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return three(rows, Window.partitionBy(*keys))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        with_halo = with_rows_before(rows, keys, order, 2, "halo")
+        return three(with_halo, slice_window(keys)).where("NOT halo").drop("halo", SLICE)
+
+    events = t.events.select("event_id", "user_id", "ts", "value")
+    return over_keys(events, keys, order, plain, sliced).select(
+        "event_id", "user_id", "n_of_three", F.col("sum_of_three").cast("double").alias("sum_of_three")
+    )
+
+
 @query(
     "p32_range_frame",
     """
@@ -207,6 +242,27 @@ def range_frame(t: Tables) -> DataFrame:
     return daily.select("o_custkey", "day", in_week.alias("n_in_week"))
 
 
+@query(
+    "p32_range_frame_times",
+    """
+    SELECT event_id, user_id, COUNT(*) OVER w AS n_in_week,
+           (SUM(value::DECIMAL(12, 2)) OVER w)::DOUBLE AS spent_in_week
+    FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts
+                 RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)
+    """,
+)
+def range_frame_times(t: Tables) -> DataFrame:
+    """Seven days by the time of day: weeks are part of the key, each event in its own and the next."""
+    events = t.events.select("event_id", "user_id", "ts")
+    reached = t.events.select("user_id", "ts", F.col("value").cast("decimal(12,2)").alias("value"))
+    aggregates = {"n_in_week": "count(r)", "spent_in_week": "sum(r.value)"}
+    framed = within_before(events, reached, ["user_id"], "ts", "7 days", aggregates, upto_peers=True)
+    return framed.select(
+        "event_id", "user_id", "n_in_week", F.col("spent_in_week").cast("double").alias("spent_in_week")
+    )
+
+
 @query(
     "p33_top_k",
     """

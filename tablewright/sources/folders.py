@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+
 from pyspark.sql import SparkSession
 
+#: Paths given out, by application.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
@@ -23,7 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing was written to yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove what this application wrote under :func:`fresh_folder`, when no frame needs it any more;
+    how many folders there were."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    return sum(remove(spark, path) for path in paths)
 
 
 def _hadoop_path(spark: SparkSession, path: str):

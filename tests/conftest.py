@@ -1,6 +1,7 @@
 import pytest
 
 from tablewright.session import build_session
+from tablewright.sources.folders import clean_up
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +17,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    clean_up(session)
     session.stop()
 
 

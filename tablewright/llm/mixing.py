@@ -39,8 +39,13 @@ class Mix:
     pieces: DataFrame
 
     def taken(self) -> DataFrame:
-        """The documents with ``taken``, the words that the mix takes of each."""
-        words = self.pieces.groupBy("_rank", "_start").agg(F.sum("n_words").alias("_taken"))
+        """The documents with ``taken``, the words that the mix takes of each, and the first and the
+        last slot of the schedule that they go to (NULL where nothing is taken)."""
+        words = self.pieces.groupBy("_rank", "_start").agg(
+            F.sum("n_words").alias("_taken"),
+            F.min("slot").alias("first_slot"),
+            F.max("slot").alias("last_slot"),
+        )
         return self.documents.join(words, ["_rank", "_start"], "left").withColumn(
             "taken", F.coalesce("_taken", F.lit(0)).cast("bigint")
         )

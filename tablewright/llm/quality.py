@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablewright.llm.common import SPACE, SPACE_CLASS
 
 SYMBOLS = "#*$%&|<>"
-END_MARKS = ".!?…。！？:;\"'”’»)]"
+END_MARKS = ".!?…。！？:;\"'”’»)]।؟۔"
+DOUBLED = ("!!", "??")
+LONG_LINE = 80  # code points from which a line is a sentence and ends like one
+LIST_ITEM = r"^[ \t]*([-*•·–]|[0-9]+[.)])[ \t]"
+BARS = "»›•·"  # stand between the items of a menu, like |
+ITEMS, ITEM_CHARS, ITEM_BLANKS = 3, 40, 3  # a menu has so many items or more, none of them longer
 NAVIGATION = (
     r"(?i)^\W*(home|menu|next|previous|back|top|login|log in|sign in|sign up|subscribe|share|"
     r"read more|click here|contact us|about us|skip to content|search)\W*$"
@@ -62,16 +67,36 @@ def _without_symbols(text: Column) -> Column:
     return text
 
 
+def is_menu(line: Column) -> Column:
+    """Whether a line is a bar of three or more short items."""
+    items = F.split(F.translate(line, BARS, "|" * len(BARS)), r" \| ", -1)
+
+    def short(item: Column) -> Column:
+        bare = F.trim(item)
+        blanks = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit("")))
+        return (F.length(bare) <= ITEM_CHARS) & (blanks <= ITEM_BLANKS)
+
+    bar = F.rlike(line, F.lit(f" [|{BARS}] "))
+    return F.when(bar, (F.size(items) >= ITEMS) & F.forall(items, short)).otherwise(False)
+
+
 def line_fails(line: Column) -> Column:
-    """A line with words that ends without punctuation while most of it is marks, or is navigation
-    or boilerplate. Lines without words pass."""
+    """Whether a line with words is no text. Lines without words pass.
+
+    Punctuation: more than a fifth of the line is marks, or a line as long as a sentence has no end
+    mark and is no list item. Navigation: a bar of short items, or one listed phrase. Boilerplate: a
+    listed phrase anywhere.
+    """
     last = F.substring(F.rtrim(line), -1, 1)
     ends = F.contains(F.lit(END_MARKS), last)
-    marks = F.length(line) - F.length(_without_symbols(line))
+    plain = _without_symbols(line)
+    for pair in DOUBLED:
+        plain = F.replace(plain, F.lit(pair), F.lit(""))
+    noisy = (F.length(line) - F.length(plain)) * 5 > F.length(line)
+    open_ended = (F.length(line) >= LONG_LINE) & ~ends & ~F.rlike(line, F.lit(LIST_ITEM))
     boilerplate = reduce(or_, (F.contains(line, F.lit(phrase)) for phrase in BOILERPLATE))
-    noisy = ~ends & (marks * 5 > F.length(line))
     return F.rlike(line, F.lit(r"\S")) & (
-        noisy | F.rlike(line, F.lit(NAVIGATION)) | boilerplate
+        open_ended | noisy | is_menu(line) | F.rlike(line, F.lit(NAVIGATION)) | boilerplate
     )
 
 
@@ -91,7 +116,7 @@ def quality(
     base failure and where failed lines hold more than ``max_loss`` of the characters in lines.
 
     NULL text has no words, so it fails; ``clean_text`` is then empty. Repeated rows are judged one
-    by one. Windows are compared by a 64-bit hash of the 64-bit hashes of their words.
+    by one, other columns are not read, and an empty table gives no rows. Windows are compared by a 64-bit hash of the 64-bit hashes of their words.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = documents.select(

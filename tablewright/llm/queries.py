@@ -68,7 +68,7 @@ def op3_mixing(spark: SparkSession, directory: str) -> DataFrame:
     """How much of every document the mix takes."""
     mixed = mixing.mix(table(spark, directory, "documents"), n_words(F.col("text")))
     return mixed.taken().select(
-        F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken"
+        F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "last_slot"
     )
 
 
@@ -92,27 +92,56 @@ WITH d AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS stops
     FROM w
 ), t AS (
-    SELECT source, source_size,
+    SELECT source, source_size, r,
            CASE WHEN stops THEN cap::DOUBLE
                 ELSE weight * ((total - sum(CASE WHEN stops THEN cap ELSE 0 END) OVER ()::DOUBLE)
                      / sum(CASE WHEN stops THEN 0 ELSE weight END) OVER ()::DOUBLE)
-           END AS target
+           END AS target,
+           floor(target + 0.5)::BIGINT AS goal
     FROM l
 ), p AS (
-    SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal,
+    SELECT doc_id, size, source_size, target, goal, r,
            (sum(size) OVER (PARTITION BY source ORDER BY o, doc_id NULLS FIRST, size
                             ROWS UNBOUNDED PRECEDING))::BIGINT - size AS a
     FROM d JOIN t USING (source)
     UNION ALL
-    SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal,
+    SELECT doc_id, size, source_size, target, goal, r,
            (sum(size) OVER (ORDER BY o, doc_id NULLS FIRST, size
                             ROWS UNBOUNDED PRECEDING))::BIGINT - size AS a
     FROM (SELECT * FROM d WHERE source IS NULL) JOIN (SELECT * FROM t WHERE source IS NULL) ON true
+), b AS (
+    SELECT greatest(1, (sum(goal)::BIGINT + {mixing.SLOTS - 1}) // {mixing.SLOTS}) AS block,
+           (sum(goal)::BIGINT + block - 1) // block AS n_slots
+    FROM t
+), u AS (
+    SELECT r, (goal + block - 1) // block AS n_blocks,
+           floor((sum(goal) OVER w - goal)::DOUBLE / sum(goal) OVER ()::DOUBLE * 4294967296.0::DOUBLE) AS low,
+           floor((sum(goal) OVER w)::DOUBLE / sum(goal) OVER ()::DOUBLE * 4294967296.0::DOUBLE) AS high
+    FROM t, b WHERE goal > 0 WINDOW w AS (ORDER BY r ROWS UNBOUNDED PRECEDING)
+), v AS (
+    SELECT i AS slot, u.r, n_blocks, row_number() OVER (PARTITION BY u.r ORDER BY i) - 1 AS nth
+    FROM (SELECT i, i * {mixing.GOLDEN} % 4294967296 AS point FROM b, range(n_slots) AS x(i))
+    JOIN u ON point >= low AND point < high
+), y AS (
+    SELECT slot, r, nth FROM v WHERE nth < n_blocks
+    UNION ALL
+    SELECT n_slots + nth * 1048576 + r, r, nth
+    FROM (SELECT r, n_slots, unnest(range(have, n_blocks)) AS nth
+          FROM (SELECT u.r, u.n_blocks, n_slots, count(slot) AS have
+                FROM u LEFT JOIN v USING (r), b GROUP BY u.r, u.n_blocks, n_slots)
+          WHERE have < n_blocks)
+), z AS (
+    SELECT *, a // block AS first_block,
+           (least(((goal - 1 - a) // source_size) * source_size + a + size, goal) - 1) // block AS last_block
+    FROM p, b
 )
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, goal - a))
-        + greatest(0, least(size, goal - a - source_size)))::BIGINT AS taken
-FROM p
+        + greatest(0, least(size, goal - a - source_size)))::BIGINT AS taken,
+       CASE WHEN size > 0 AND a < goal THEN f.slot END AS first_slot,
+       CASE WHEN size > 0 AND a < goal THEN g.slot END AS last_slot
+FROM z LEFT JOIN y AS f ON f.r = z.r AND f.nth = first_block
+       LEFT JOIN y AS g ON g.r = z.r AND g.nth = last_block
 """
 
 
@@ -211,10 +240,21 @@ def op7_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+_END_MARKS = quality.END_MARKS.replace("'", "''")
+_ITEMS = f"string_split(translate(l, '{quality.BARS}', '{'|' * len(quality.BARS)}'), ' | ')"
+_LONG_ITEM = (
+    f"length(trim(x, ' ')) > {quality.ITEM_CHARS} OR "
+    f"length(trim(x, ' ')) - length(replace(trim(x, ' '), ' ', '')) > {quality.ITEM_BLANKS}"
+)
+_PLAIN = "regexp_replace(l, '[#*$%&|<>]', '', 'g')"
+for _pair in quality.DOUBLED:
+    _PLAIN = f"replace({_PLAIN}, '{_pair}', '')"
 _FAILS = (
     "(regexp_matches(l, '\\S') AND ("
-    + "(NOT contains('" + quality.END_MARKS.replace("'", "''") + "', right(rtrim(l, ' '), 1))"
-    + " AND 5 * length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > length(l))"
+    + f"(length(l) >= {quality.LONG_LINE} AND NOT contains('{_END_MARKS}', right(rtrim(l, ' '), 1))"
+    + f" AND NOT regexp_matches(l, '{quality.LIST_ITEM}'))"
+    + f" OR 5 * (length(l) - length({_PLAIN})) > length(l)"
+    + f" OR (len({_ITEMS}) >= {quality.ITEMS} AND len([x FOR x IN {_ITEMS} IF {_LONG_ITEM}]) = 0)"
     + f" OR regexp_matches(l, '{quality.NAVIGATION}')"
     + "".join(f" OR contains(l, '{phrase}')" for phrase in quality.BOILERPLATE)
     + "))"

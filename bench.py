@@ -17,7 +17,7 @@ from pyspark.sql import Window, functions as F
 from tablewright.operators.export import export_parquet, summarize
 from tablewright.plans.catalogue import QUERIES
 from tablewright.session import build_session
-from tablewright.sources.folders import fresh_folder
+from tablewright.sources.folders import clean_up, fresh_folder
 from tablewright.sources.tables import table
 
 DIRECTORY = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -135,6 +135,7 @@ def main() -> None:
             }
         )
     )
+    clean_up(spark)
     spark.stop()
 
 

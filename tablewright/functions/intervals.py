@@ -82,5 +82,7 @@ def within_before(
     )
     if upto_peers:
         return answered
-    nothing = right.limit(0).select(row).agg(*(F.expr(a).alias(n) for n, a in aggregates.items()))
-    return answered.unionByName(left.where(_null_keys(left, places)).crossJoin(F.broadcast(nothing)))
+    # What the aggregates give over no rows.
+    none = right.limit(0).select(row)
+    nothing = [none.select(F.expr(a).alias(n)).scalar().alias(n) for n, a in aggregates.items()]
+    return answered.unionByName(left.where(_null_keys(left, places)).select("*", *nothing))

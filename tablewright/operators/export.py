@@ -44,8 +44,9 @@ def write_parquet(
 
     What stands at ``path`` is replaced when the write has succeeded, not before: the rows go to a
     folder next to it, which then takes its name. So a query may read from ``path``, in whatever
-    way, and one that fails leaves it as it was. On an object store taking a name copies the data;
-    write to a new path there.
+    way, and one that fails leaves it as it was. Between the two renames nothing stands at ``path``: a
+    driver that is lost there leaves the old and the new rows under hidden names beside it. On an
+    object store taking a name copies the data; write to a new path there.
     """
     spark = df.sparkSession
     if mode == "overwrite" and exists(spark, path):

@@ -194,7 +194,7 @@ def script(t: Tables) -> DataFrame:
 @query(
     "b10_update",
     """
-    SELECT o_orderkey,
+    SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority,
            CASE WHEN s = 'F' THEN 'closed' ELSE s END AS o_orderstatus,
            CASE WHEN s = 'F' THEN o_totalprice * 1.1 ELSE o_totalprice END AS o_totalprice
     FROM (SELECT *, NULLIF(o_orderstatus, 'P') AS s FROM orders)
@@ -202,7 +202,7 @@ def script(t: Tables) -> DataFrame:
 )
 def update(t: Tables) -> DataFrame:
     status = F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus")
-    rows = t.orders.select("o_orderkey", status, "o_totalprice")
+    rows = t.orders.withColumn("o_orderstatus", status)
     changes = {"o_orderstatus": "'closed'", "o_totalprice": "o_totalprice * 1.1"}
     return update_rows(rows, changes, where="o_orderstatus = 'F'")
 
@@ -232,14 +232,14 @@ def update_versioned(t: Tables) -> DataFrame:
 @query(
     "b11_delete",
     """
-    SELECT o_orderkey, s AS o_orderstatus, o_totalprice
+    SELECT o_orderkey, o_custkey, s AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
     FROM (SELECT *, NULLIF(o_orderstatus, 'P') AS s FROM orders)
     WHERE NOT coalesce(s = 'F' AND o_totalprice < 100000, FALSE)
     """,
 )
 def delete(t: Tables) -> DataFrame:
     status = F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus")
-    rows = t.orders.select("o_orderkey", status, "o_totalprice")
+    rows = t.orders.withColumn("o_orderstatus", status)
     return delete_rows(rows, where="o_orderstatus = 'F' AND o_totalprice < 100000")
 
 
@@ -271,11 +271,20 @@ def append(t: Tables) -> DataFrame:
 
 @query(
     "b12_append_versioned",
-    "SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT l_orderkey, l_extendedprice FROM lineitem",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+    UNION ALL
+    SELECT l_orderkey, NULL, l_linestatus, l_extendedprice, l_shipdate, NULL FROM lineitem
+    """,
 )
 def append_versioned(t: Tables) -> DataFrame:
-    root = _versioned(t, t.orders.select("o_orderkey", "o_totalprice"))
-    more = t.lineitem.selectExpr("l_orderkey AS o_orderkey", "l_extendedprice AS o_totalprice")
+    root = _versioned(t, t.orders)
+    more = t.lineitem.selectExpr(
+        "l_orderkey AS o_orderkey",
+        "l_linestatus AS o_orderstatus",
+        "l_extendedprice AS o_totalprice",
+        "l_shipdate AS o_orderdate",
+    )
     versions.append(t.spark, root, more)
     return versions.read(t.spark, root)
 

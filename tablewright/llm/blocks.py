@@ -8,7 +8,7 @@ the text, compressed, and a few bytes per distinct key and block. A lost task as
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ LEAST_BLOCKS = 48
 PACK_BYTES = 32 << 20
 
 
-def n_blocks(n_bytes: int) -> int:
-    return max(LEAST_BLOCKS, -(-n_bytes // BLOCK_BYTES))
+def n_blocks(n_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(LEAST_BLOCKS, -(-n_bytes // block_bytes))
 
 
 def squeeze(data: bytes) -> bytes:
@@ -44,15 +44,17 @@ def expand_numbers(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def packed(documents: DataFrame, blocks: int, id_column: str, text_column: str) -> DataFrame:
-    """``_block, _blob``: the ids and texts of ``documents`` in compressed parts of blocks.
+def packed(texts: DataFrame, blocks: int) -> DataFrame:
+    """``_block, _blob``: the rows ``_id, _text, _use`` in compressed parts of blocks.
 
-    The block of a row depends on its id alone, so every run deals alike.
+    The block of a row depends on its id and text alone, so every run deals alike; rows that share
+    an id, or have none, spread by their texts.
     """
-    rows = documents.select(
-        F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)).cast("int").alias("_block"),
-        F.col(id_column).cast("bigint").alias("_id"),
-        F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("_text"),
+    rows = texts.select(
+        F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int").alias("_block"),
+        "_id",
+        "_text",
+        "_use",
     )
 
     def pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -63,7 +65,7 @@ def packed(documents: DataFrame, blocks: int, id_column: str, text_column: str)
         cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
         numbers, blobs = [], []
         for a, b in zip(cuts, cuts[1:]):
-            part = table.slice(a, b - a).select(["_id", "_text"]).combine_chunks()
+            part = table.slice(a, b - a).select(["_id", "_text", "_use"]).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as writer:
                 writer.write_table(part)
@@ -87,24 +89,11 @@ def packed(documents: DataFrame, blocks: int, id_column: str, text_column: str)
     return rows.mapInArrow(run, "_block INT, _blob BINARY")
 
 
-def unpacked(blobs: list[bytes]) -> tuple[list, list[bytes]]:
-    """Ids and texts of the parts of one block, ordered by id and text."""
+def unpacked(blobs: list[bytes]) -> tuple[list, list[bytes], list[int]]:
+    """Ids, texts and uses of the parts of one block, ordered by all three."""
     rows = []
     for blob in blobs:
         table = pa.ipc.open_stream(expand(blob)).read_all()
-        rows += zip(table.column("_id").to_pylist(), table.column("_text").to_pylist())
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    return [r[0] for r in rows], [r[1] for r in rows]
-
-
-def collected(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], int], most: int):
-    """Batches in groups of about ``most`` by ``size``."""
-    held, total = [], 0
-    for batch in batches:
-        held.append(batch)
-        total += size(batch)
-        if total >= most:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+        rows += zip(*(table.column(c).to_pylist() for c in ("_id", "_text", "_use")))
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    return tuple([r[i] for r in rows] for i in range(3))

@@ -41,7 +41,7 @@ def op1_suffix_tree_scores(spark: SparkSession, directory: str) -> DataFrame:
     """Scores of all documents by a tree learned from those that are not held out."""
     documents = table(spark, directory, "documents")
     held_out = suffix_tree.held_out(F.col("doc_id"))
-    scores = suffix_tree.score_texts(documents, documents.where(~held_out))
+    scores = suffix_tree.score_texts(documents, ~held_out)
     return scores.select(
         F.col("_id").alias("doc_id"),
         suffix_tree.held_out(F.col("_id")).alias("held_out"),
@@ -50,6 +50,7 @@ def op1_suffix_tree_scores(spark: SparkSession, directory: str) -> DataFrame:
         "train_tokens",
         "base_score",
         "score",
+        "n_in_states",
     )
 
 

@@ -1,44 +1,51 @@
 """Language model scores from a probabilistic suffix tree.
 
-States of the tree are contexts of one or more words. A context is a candidate when its share of the
-training words is at least ``MIN_SHARE`` (so there are at most 1 / ``MIN_SHARE`` of each length,
-whatever the corpus), and stays when the words that follow it are distributed otherwise than those
-that follow its suffix: when their divergence, less what sampling alone would give, is at least
-``MIN_DIVERGENCE``. A suffix of a state is a state. The distribution of a state is smoothed with that
-of its suffix (Witten and Bell: as much weight as it has distinct next words), the empty context with
-half a count for every word and one unknown word, so each distribution sums to one. A token is
-scored by the longest state that the words before it end with.
-
-Next-word counts of all states over all training texts are kept. They are counted in parts, merged
-by a hash of context and word, then brought together by word. Texts ask for them in blocks, see
-:mod:`tablewright.llm.blocks`. Words are compared by 64-bit hashes.
+States of the tree are contexts of one to ``DEPTH`` words. A context is a candidate when the training
+texts hold it ``MIN_COUNT`` times, whatever their size, so the tree grows with the corpus. It passes
+when the words that follow it are distributed otherwise than those that follow its suffix: when their
+divergence, less what sampling alone would give, is at least ``MIN_DIVERGENCE``. States are the
+contexts that pass and all their suffixes. The distribution of a state is smoothed with that of its
+suffix (Witten and Bell: as much weight as it has distinct next words), the empty context with half a
+count for every word and one unknown word, so each distribution sums to one. A token is scored by the
+longest state that the words before it end with.
+
+Counts and states are rows of tables in parts by hash, never on the driver and never broadcast. Texts
+lie in blocks, see :mod:`tablewright.llm.blocks`, which give and ask in three rounds:
+
+1. words and pairs of words, each distinct one once a block, and their counts over all training texts;
+2. longer runs of words, those alone whose context consists of frequent pairs: a longer context
+   cannot be more frequent than a pair in it;
+3. the candidates in a block, with the block's share of their divergence. A part adds the shares up,
+   tells the parts of all suffixes of a context that passes, and answers which candidates are states.
+
+A run of words is the pair of a context and its next word, so its count is both that of the next word
+and, if no text ends there, of the context that is one word longer. The divergence of a context is a
+sum over its next words, each as often as it occurs; so every block can add up its own occurrences,
+and 1 / count over occurrences counts the different next words. Shares are added as whole numbers:
+the order of the blocks changes nothing. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.blocks import (
-    collected,
-    expand_numbers,
-    n_blocks,
-    packed,
-    squeeze_numbers,
-    unpacked,
-)
+from tablewright.llm.blocks import expand_numbers, n_blocks, packed, squeeze_numbers, unpacked
 from tablewright.llm.common import stage
 
-DEPTH = 2  # words of the longest context
-MIN_SHARE = 2e-4
-SLACK = 0.5  # candidates are looked for at this part of the least share, then counted exactly
+DEPTH = 4  # words of the longest context
+MIN_COUNT = 20
 MIN_DIVERGENCE = 0.02
-CHUNK_BYTES = 32 << 20  # of text that a task counts at once
-PART_BYTES = 64 << 20  # of text for each part of the table of counts
+BLOCK_BYTES = 6 << 20  # of text that a task holds at once
+PART_BYTES = 32 << 20  # of text for each part of the tables of counts
+LEAST_PARTS = 48
+SCORES, LEARNS = 1, 2  # what a row is for
+UNIT = 2.0**30  # shares of a block are whole multiples of 1 / UNIT
 
 _RNG = np.random.default_rng(99)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,10 +68,6 @@ def _joined(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return _mixed(first * np.uint64(0xE7037ED1A0B428DB) + rest)
 
 
-def _pair(word: np.ndarray, state: np.ndarray) -> np.ndarray:
-    return _mixed(word + state.astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     made = np.full(n, base, np.uint64)
     made[0] = 1
@@ -117,111 +120,6 @@ class Hasher:
         return out, place, per_text
 
 
-@dataclass(frozen=True)
-class Candidates:
-    """Contexts in the order of their hashes, per length; states are numbered through, 0 is the
-    empty context. ``suffix`` is the state of the context without its first word."""
-
-    hashes: tuple[np.ndarray, ...]
-    suffix: np.ndarray
-
-    def states(self, tokens: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each length, the tokens whose context of it is a candidate, and its state."""
-        out = [(np.arange(len(tokens)), np.zeros(len(tokens), np.uint32))]
-        at, context, first_state = np.flatnonzero(place >= 1), None, 1
-        for length, hashes in enumerate(self.hashes, 1):
-            at = at[place[at] >= length] if context is None else at
-            if context is not None:
-                longer = place[at] >= length
-                at, context = at[longer], context[longer]
-            word = tokens[at - length]
-            context = word if context is None else _joined(word, context)
-            found = np.searchsorted(hashes, context)
-            found[found == len(hashes)] = 0
-            hit = hashes[found] == context if len(hashes) else np.zeros(len(at), bool)
-            at, context = at[hit], context[hit]
-            out.append((at, (found[hit] + first_state).astype(np.uint32)))
-            first_state += len(hashes)
-        return out
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    for held in collected(batches, lambda b: b.nbytes, CHUNK_BYTES):
-        yield [t or b"" for b in held for t in b.column(0).to_pylist()]
-
-
-def _frequent_contexts(depth: int, min_share: float):
-    """Contexts with at least ``SLACK`` of the least share in a stretch of text, and the size of
-    the stretch under length 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for texts in _texts(batches):
-            tokens, place, per_text = hasher.tokens(texts)
-            least = SLACK * min_share * len(tokens)
-            rows = [[(0, 0, 0, len(tokens)), (0, 1, 0, sum(map(len, texts)))]]
-            # Where a context of one word ends; the end of a text is in no context.
-            at = np.flatnonzero(tokens != END)
-            context = tokens[at]
-            for length in range(1, depth + 1):
-                if length > 1:
-                    longer = place[at] >= length - 1
-                    at, suffix = at[longer], context[longer]
-                    context = _joined(tokens[at - length + 1], suffix)
-                else:
-                    suffix = np.zeros(len(at), np.uint64)
-                kinds, index, n = np.unique(context, return_index=True, return_counts=True)
-                often = n >= least
-                rows.append(
-                    zip([length] * int(often.sum()), kinds[often].view(np.int64).tolist(),
-                        suffix[index][often].view(np.int64).tolist(), n[often].tolist())
-                )
-                # A longer context is frequent only if its suffix is.
-                keep = np.isin(context, kinds[often])
-                at, context = at[keep], context[keep]
-            flat = [r for part in rows for r in part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*flat), (pa.int32(), *[pa.int64()] * 3))],
-                ["_length", "_context", "_suffix", "_n"],
-            )
-
-    return run
-
-
-def find_candidates(training: DataFrame, depth: int, min_share: float) -> tuple[Candidates, int, int]:
-    """Candidates, training tokens, and bytes of training text.
-
-    Adding up what each stretch of text reports misses no context of the least share: it misses
-    less than ``SLACK`` of that share. At most 2 / ``min_share`` contexts of each length come to the
-    driver, whatever the corpus.
-    """
-    seen = (
-        training.mapInArrow(
-            _frequent_contexts(depth, min_share),
-            "_length INT, _context BIGINT, _suffix BIGINT, _n BIGINT",
-        )
-        .groupBy("_length", "_context")
-        .agg(F.sum("_n").alias("_n"), F.min("_suffix").alias("_suffix"))
-    )
-    seen = stage(seen, "suffix-tree-contexts")
-    sizes = {r[0]: r[1] for r in seen.where("_length = 0").select("_context", "_n").collect()}
-    n_tokens, n_bytes = sizes.get(0, 0), sizes.get(1, 0)
-    least = (1 - SLACK) * min_share * n_tokens
-    rows = seen.where((F.col("_length") > 0) & (F.col("_n") >= least)).collect()
-    hashes: list[np.ndarray] = []
-    suffix, known, first_state = [0], {0: 0}, 1
-    for length in range(1, depth + 1):
-        kept = [r for r in rows if r["_length"] == length and r["_suffix"] in known]
-        made = np.sort(np.array([r["_context"] for r in kept], np.int64).view(np.uint64))
-        parents = {r["_context"]: known[r["_suffix"]] for r in kept}
-        order = made.view(np.int64).tolist()
-        suffix += [parents[c] for c in order]
-        known = {c: first_state + i for i, c in enumerate(order)}
-        first_state += len(order)
-        hashes.append(made)
-    return Candidates(tuple(hashes), np.array(suffix, np.int64)), n_tokens, n_bytes
-
-
 def _part(hashed: np.ndarray, parts: int) -> np.ndarray:
     """Equal ranges of the hash, so that what is sorted by it is cut into parts."""
     return ((hashed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -233,217 +131,272 @@ def _cut(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(part[a]), a, b
 
 
-_COUNTS = "_part INT, _words BINARY, _states BINARY, _counts BINARY"
+def _steps(sorted_numbers: np.ndarray) -> bytes:
+    return squeeze_numbers(np.diff(sorted_numbers, prepend=np.uint64(0)))
 
 
-def _count_rows(part, word, state, n) -> pa.RecordBatch:
-    rows = [
-        (p, squeeze_numbers(word[a:b]), squeeze_numbers(state[a:b]), squeeze_numbers(n[a:b]))
-        for p, a, b in _cut(part)
-    ]
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, kinds)], ["_part", "_words", "_states", "_counts"]
-    )
+def _sums(steps: bytes) -> np.ndarray:
+    return np.cumsum(expand_numbers(steps, "<u8"), dtype=np.uint64)
 
 
-def _read_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def read(name, kind):
-        made = [expand_numbers(x, kind) for x in table.column(name).to_pylist() if x is not None]
-        return np.concatenate(made) if made else np.zeros(0, kind)
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"INT": pa.int32(), "BIGINT": pa.int64(), "BINARY": pa.binary(), "DOUBLE": pa.float64()}
+    names, types = zip(*(column.split() for column in schema.split(", ")))
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.table({n: pa.array(c, kinds[t]) for n, c, t in zip(names, columns, types)})
 
-    return read("_words", "<u8"), read("_states", "<u4"), read("_counts", "<i8")
 
+class _Block:
+    """The tokens of a block, the hashes of the runs of words that end at each, and the counts that
+    it has heard. ``grams[k]`` and ``counts[k]`` are of runs of k words; 0 where there is none."""
 
-def _next_words(shared, parts: int):
-    """Counts of each word after each candidate context, in parts by both."""
+    def __init__(self, table: pa.Table, depth: int, min_count: int):
+        is_text = table.column("_blob").is_valid()
+        rows = unpacked(table.filter(is_text).column("_blob").to_pylist())
+        self.ids, texts, uses = rows
+        self.min_count = min_count
+        self.tokens, self.place, self.per_text = Hasher().tokens(texts)
+        uses = np.array(uses, np.int64)
+        self.scored = (uses & SCORES) > 0
+        self.learns = np.repeat((uses & LEARNS) > 0, self.per_text)
+        self.grams = {1: self.tokens}
+        self.counts = defaultdict(lambda: np.zeros(len(self.tokens), np.int64))
+        self._distinct, self._at = {}, {1: np.arange(len(self.tokens))}
+        if "_counts" in table.column_names:
+            heard = table.filter(table.column("_counts").is_valid())
+            heard = heard.sort_by([("_length", "ascending"), ("_part", "ascending")])
+            length = heard.column("_length").to_numpy()
+            answers = heard.column("_counts").to_pylist()
+            for k in np.unique(length).tolist():
+                mine = np.flatnonzero(length == k)
+                told = np.concatenate([expand_numbers(answers[i], "<i8") for i in mine])
+                self.counts[k][self.at(k)] = told[self.distinct(k)[1]]
+
+    def at(self, length: int) -> np.ndarray:
+        """The tokens that end a run of ``length`` words which is asked for: the pairs that the run
+        without its last word consists of are all frequent."""
+        if length not in self._at:
+            at = self.at(length - 1)
+            at = at[self.place[at] >= length - 1]
+            if length > 2:
+                at = at[self.counts[2][at - length + 2] >= self.min_count]
+            self._at[length] = at
+            made = np.zeros(len(self.tokens), np.uint64)
+            made[at] = _joined(self.tokens[at - length + 1], self.grams[length - 1][at])
+            self.grams[length] = made
+        return self._at[length]
+
+    def distinct(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        if length not in self._distinct:
+            at = self.at(length)
+            self._distinct[length] = np.unique(self.grams[length][at], return_inverse=True)
+        return self._distinct[length]
+
+    def questions(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct runs of ``length`` words, and how often the training texts of the block have them."""
+        kinds, inverse = self.distinct(length)
+        mine = inverse[self.learns[self.at(length)]]
+        return kinds, np.bincount(mine, minlength=len(kinds)).astype(np.int64)
+
+    def candidates(self, length: int) -> np.ndarray:
+        """The tokens that follow a candidate of ``length`` words."""
+        at = self.at(length + 1)
+        return at[self.counts[length][at - 1] >= self.min_count]
+
+    def facts(self, depth: int, n_tokens: int) -> tuple[np.ndarray, ...]:
+        """The candidates of the block in the order of their hashes: hash, shares of the divergence
+        and of the different next words, count, count of the suffix, and the hashes of the shorter
+        suffixes (0: none). Also, for each length, which candidate each token follows."""
+        keys, chains, shares, kinds, counts, ups, follows = [], [], [], [], [], [], []
+        for length in range(1, depth + 1):
+            at = self.candidates(length)
+            key, first, inverse = np.unique(
+                self.grams[length][at - 1], return_index=True, return_inverse=True
+            )
+            learnt = self.learns[at]
+            mine, token = inverse[learnt], at[learnt]
+            n = self.counts[length + 1][token]
+            gain = np.log(n / self.counts[length][token])
+            keys.append(key)
+            shares.append(np.bincount(mine, gain, len(key)))
+            kinds.append(np.bincount(mine, 1 / n, len(key)))
+            last = at[first] - 1
+            counts.append(self.counts[length][last])
+            ups.append(self.counts[length - 1][last] if length > 1 else np.full(len(key), n_tokens))
+            chain = np.zeros((len(key), depth), np.uint64)
+            for shorter in range(1, length):
+                chain[:, shorter - 1] = self.grams[shorter][last]
+            chains.append(chain)
+            follows.append((at, inverse))
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        done, placed = 0, []
+        for k, (at, inverse) in zip(keys, follows):
+            placed.append((at, rank[done : done + len(k)][inverse]))
+            done += len(k)
+        whole = [np.rint(np.concatenate(x)[order] * UNIT).astype(np.int64) for x in (shares, kinds)]
+        plain = [np.concatenate(x)[order].astype(np.int64) for x in (counts, ups)]
+        return key[order], *whole, *plain, np.concatenate(chains)[order], placed
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for texts in _texts(batches):
-            tokens, place, _ = hasher.tokens(texts)
-            found = shared.value.states(tokens, place)
-            state = np.concatenate([s for _, s in found])
-            word = np.concatenate([tokens[at] for at, _ in found])
-            keys, index, n = np.unique(_pair(word, state), return_index=True, return_counts=True)
-            yield _count_rows(_part(keys, parts), word[index], state[index], n.astype(np.int64))
 
-    return run
+_ASKED = "_part INT, _block INT, _length INT, _keys BINARY, _counts BINARY"
+_COUNTED = "_block INT, _part INT, _length INT, _counts BINARY, _n BIGINT, _kinds BIGINT"
 
 
-def _merge(parts: int):
-    """One count for each word and context, in parts by the word alone."""
+def _ask(lengths: range, parts: int, depth: int, min_count: int):
+    """Round 1 and 2: the runs of words of a block, in parts by hash."""
 
     def run(table: pa.Table) -> pa.Table:
-        word, state, n = _read_counts(table)
-        _, index, inverse = np.unique(_pair(word, state), return_index=True, return_inverse=True)
-        total = np.zeros(len(index), np.int64)
-        np.add.at(total, inverse, n)
-        word, state = word[index], state[index]
-        order = np.argsort(word)
-        made = _count_rows(_part(word[order], parts), word[order], state[order], total[order])
-        return pa.Table.from_batches([made])
+        number = table.column("_block")[0].as_py()
+        block = _Block(table, depth, min_count)
+        rows = []
+        for length in lengths:
+            keys, n = block.questions(length)
+            rows += [
+                (p, number, length, _steps(keys[a:b]), squeeze_numbers(n[a:b]))
+                for p, a, b in _cut(_part(keys, parts))
+            ]
+        return _rows(_ASKED, rows)
 
     return run
 
 
-@dataclass(frozen=True)
-class _Questions:
-    """The tokens of a block and the distinct pairs of state and word that score them."""
-
-    ids: list
-    tokens: np.ndarray
-    per_text: np.ndarray
-    found: list
-    word: np.ndarray
-    state: np.ndarray
-    index: np.ndarray  # of the pair, for each entry of ``found`` in turn
-
+def _count(table: pa.Table) -> pa.Table:
+    """The counts of a part for the blocks that ask, in their order; under no block, how many
+    single tokens there are and how many different ones."""
+    part = table.column("_part")[0].as_py()
+    rows = []
+    for length in table.column("_length").unique().to_pylist():
+        mine = table.filter(pc.equal(table.column("_length"), length))
+        keys = [_sums(x) for x in mine.column("_keys").to_pylist()]
+        given = [expand_numbers(x, "<i8") for x in mine.column("_counts").to_pylist()]
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, np.concatenate(given))
+        if length == 1:
+            rows.append((None, part, None, None, int(total.sum()), int((total > 0).sum())))
+        done = 0
+        for block, k in zip(mine.column("_block").to_pylist(), keys):
+            told = total[inverse[done : done + len(k)]]
+            done += len(k)
+            rows.append((block, part, length, squeeze_numbers(told), None, None))
+    return _rows(_COUNTED, rows)
+
+
+_SHARED = (
+    "_part INT, _block INT, _keys BINARY, _gain BINARY, _kinds BINARY, _n BINARY, _up BINARY, "
+    "_chain BINARY"
+)
+_TESTED = "_part INT, _block INT, _keys BINARY, _kinds BINARY, _state BINARY"
+_TOLD = "_block INT, _part INT, _states BINARY"
 
-def _questions(blobs: list[bytes], candidates: Candidates) -> _Questions:
-    ids, texts = unpacked(blobs)
-    tokens, place, per_text = Hasher().tokens(texts)
-    found = candidates.states(tokens, place)
-    word = np.concatenate([tokens[at] for at, _ in found])
-    state = np.concatenate([s for _, s in found])
-    _, index, inverse = np.unique(_pair(word, state), return_index=True, return_inverse=True)
-    word, state = word[index], state[index]
-    order = np.lexsort((state, word))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return _Questions(ids, tokens, per_text, found, word[order], state[order], rank[inverse])
 
+def _share(parts: int, depth: int, min_count: int, n_tokens: int):
+    """Round 3: the candidates of a block, with its shares."""
 
-def _ask(shared, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("_block")[0].as_py()
-        asked = _questions(table.column("_blob").to_pylist(), shared.value)
+        number = table.column("_block")[0].as_py()
+        keys, *numbers, chain, _ = _Block(table, depth, min_count).facts(depth, n_tokens)
         rows = [
-            (p, block, squeeze_numbers(np.diff(asked.word[a:b], prepend=np.uint64(0))),
-             squeeze_numbers(asked.state[a:b]))
-            for p, a, b in _cut(_part(asked.word, parts))
+            (p, number, _steps(keys[a:b]), *(squeeze_numbers(x[a:b]) for x in numbers),
+             squeeze_numbers(chain[a:b].reshape(-1)))
+            for p, a, b in _cut(_part(keys, parts))
         ]
-        return pa.table(
-            {n: pa.array(c, t) for n, c, t in zip(
-                ("_part", "_block", "_words", "_states"), zip(*rows),
-                (pa.int32(), pa.int32(), pa.binary(), pa.binary()))}
-        )
+        return _rows(_SHARED, rows)
 
     return run
 
 
-_ANSWERS = (
-    "_block INT, _part INT, _counts BINARY, _state INT, _kinds BIGINT, _n BIGINT, _gain DOUBLE"
-)
-
-
-def _answer(shared):
-    """Counts for what the blocks ask, in their order; and what the words of this part add to the
-    divergence of each context from its suffix."""
+def _test(parts: int, depth: int, min_divergence: float):
+    """The candidates of a part: which pass, and for the parts of their suffixes, that these are
+    states. What the blocks ask is passed on."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("_part")[0].as_py()
-        block = table.column("_block")
-        word, state, n = _read_counts(table.filter(block.is_null()))
-        key = _pair(word, state)
-        order = np.argsort(key)
-        key, word, state, n = key[order], word[order], state[order], n[order]
-
-        def look_up(words, states):
-            if not len(key):
-                return np.zeros(len(words), np.int64)
-            at = np.minimum(np.searchsorted(key, wanted := _pair(words, states)), len(key) - 1)
-            return np.where(key[at] == wanted, n[at], 0)
-
-        suffix = shared.value.suffix[state]
-        below = np.where(state == 0, n, look_up(word, suffix))
-        size = len(shared.value.suffix)
-        gain = np.bincount(state, n * np.log(n / np.maximum(below, 1)), minlength=size)
-        total = np.zeros(size, np.int64)
-        np.add.at(total, state, n)
-        kinds = np.bincount(state, minlength=size)
-        seen = np.flatnonzero(kinds)
-        rows = [(None, part, None, int(s), int(kinds[s]), int(total[s]), float(gain[s])) for s in seen]
-        for row in table.filter(block.is_valid()).to_pylist():
-            words = np.cumsum(expand_numbers(row["_words"], "<u8"), dtype=np.uint64)
-            counts = look_up(words, expand_numbers(row["_states"], "<u4"))
-            rows.append((row["_block"], part, squeeze_numbers(counts), None, None, None, None))
-        kind = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
-        names = [c.split()[0] for c in _ANSWERS.split(", ")]
-        columns = list(zip(*rows)) or [()] * len(names)
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(names, columns, kind)})
-
-    return run
 
+        def column(name, kind):
+            return np.concatenate([expand_numbers(x, kind) for x in table.column(name).to_pylist()])
 
-@dataclass(frozen=True)
-class Tree:
-    """The states that stay, with their counts of next words, kinds of next words, and depth."""
+        asked = table.column("_keys").to_pylist()
+        keys, first, inverse = np.unique(
+            np.concatenate([_sums(x) for x in asked]), return_index=True, return_inverse=True
+        )
+        share = np.zeros((2, len(keys)), np.int64)
+        np.add.at(share[0], inverse, column("_gain", "<i8"))
+        np.add.at(share[1], inverse, column("_kinds", "<i8"))
+        n, up = column("_n", "<i8")[first], column("_up", "<i8")[first]
+        kinds = np.rint(share[1] / UNIT).astype(np.int64)
+        divergence = share[0] / UNIT / n - np.log(n / up)
+        passes = divergence - (kinds - 1) / (2 * n) >= min_divergence
+        chain = column("_chain", "<u8").reshape(-1, depth)[first][passes]
+        suffixes = np.unique(chain[chain > 0])
+        rows = [(part, None, _steps(keys), squeeze_numbers(kinds), squeeze_numbers(passes.astype("<i4")))]
+        rows += [(p, None, _steps(suffixes[a:b]), None, None) for p, a, b in _cut(_part(suffixes, parts))]
+        rows += [(part, b, k, None, None) for b, k in zip(table.column("_block").to_pylist(), asked)]
+        return _rows(_TESTED, rows)
 
-    candidates: Candidates
-    kept: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
+    return run
 
 
-def grow(candidates: Candidates, facts: list, min_share: float, min_divergence: float) -> Tree:
-    """Keep the candidates that pass, and their suffixes. ``facts``: state, kinds, total, gain."""
-    size = len(candidates.suffix)
-    kinds, total, gain = np.zeros(size), np.zeros(size), np.zeros(size)
-    for state, k, n, g in facts:
-        kinds[state], total[state], gain[state] = k, n, g
-    kept = np.zeros(size, bool)
-    kept[0] = True
-    for state in range(size - 1, 0, -1):
-        n, up = total[state], candidates.suffix[state]
-        if n and n >= min_share * total[0]:
-            divergence = gain[state] / n - np.log(n / total[up])
-            kept[state] |= divergence - (kinds[state] - 1) / (2 * n) >= min_divergence
-        if kept[state]:
-            kept[up] = True
-    return Tree(candidates, kept, total, kinds)
+def _tell(table: pa.Table) -> pa.Table:
+    """For the candidates that the blocks ask for: how many different words follow, 0 if it is no
+    state."""
+    part = table.column("_part")[0].as_py()
+    rows = table.to_pylist()
+    (own,) = (r for r in rows if r["_kinds"] is not None)
+    keys, kinds = _sums(own["_keys"]), expand_numbers(own["_kinds"], "<i8")
+    state = expand_numbers(own["_state"], "<i4") > 0
+    for r in rows:
+        if r["_block"] is None and r["_kinds"] is None:
+            state[np.searchsorted(keys, _sums(r["_keys"]))] = True
+    told = np.where(state, kinds, 0)
+    asked = ((r["_block"], _sums(r["_keys"])) for r in rows if r["_block"] is not None)
+    return _rows(
+        _TOLD, [(b, part, squeeze_numbers(told[np.searchsorted(keys, k)])) for b, k in asked]
+    )
 
 
 _SCORES = (
-    "_id BIGINT, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, base_score DOUBLE, score DOUBLE"
+    "_id BIGINT, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, base_score DOUBLE, "
+    "score DOUBLE, n_in_states BIGINT"
 )
 
 
-def _score(shared):
+def _score(depth: int, min_count: int, n_tokens: int, n_words: int):
     def run(table: pa.Table) -> pa.Table:
-        tree = shared.value
-        is_text = table.column("_blob").is_valid()
-        asked = _questions(table.filter(is_text).column("_blob").to_pylist(), tree.candidates)
-        answers = table.filter(table.column("_counts").is_valid()).sort_by([("_part", "ascending")])
-        parts = [expand_numbers(x, "<i8") for x in answers.column("_counts").to_pylist()]
-        counts = np.concatenate(parts)[asked.index]
-        n, kinds = tree.total[0], tree.kinds[0]
-        width = len(asked.tokens)
-        seen = counts[:width]
-        base = (seen + 0.5) / (n + 0.5 * (kinds + 1))
-        p, done = base.copy(), width
+        block = _Block(table, depth, min_count)
+        follows, told = [], np.zeros(0, np.int64)
+        if depth:
+            follows = block.facts(depth, n_tokens)[-1]
+            answers = table.filter(table.column("_states").is_valid()).sort_by([("_part", "ascending")])
+            parts = [expand_numbers(x, "<i8") for x in answers.column("_states").to_pylist()]
+            told = np.concatenate([told, *parts])
+        seen = block.counts[1]
+        base = (seen + 0.5) / (n_tokens + 0.5 * (n_words + 1))
+        p, in_state = base.copy(), np.zeros(len(base), np.int64)
         # From short to long contexts; the longest state has the last word.
-        for at, state in asked.found[1:]:
-            stays = tree.kept[state]
-            at_, state_ = at[stays], state[stays]
-            weight = tree.kinds[state_]
-            p[at_] = (counts[done : done + len(at)][stays] + weight * p[at_]) / (
-                tree.total[state_] + weight
-            )
-            done += len(at)
-        first = np.cumsum(asked.per_text) - asked.per_text
+        for length, (at, candidate) in enumerate(follows, 1):
+            kinds = told[candidate]
+            at, kinds = at[kinds > 0], kinds[kinds > 0]
+            n = block.counts[length][at - 1]
+            p[at] = (block.counts[length + 1][at] + kinds * p[at]) / (n + kinds)
+            in_state[at] = 1
+        first = np.cumsum(block.per_text) - block.per_text
         add = np.add.reduceat
-        return pa.table(
+        made = pa.table(
             {
-                "_id": pa.array(asked.ids, pa.int64()),
-                "n_tokens": asked.per_text.astype(np.int64),
+                "_id": pa.array(block.ids, pa.int64()),
+                "n_tokens": block.per_text.astype(np.int64),
                 "n_known": add((seen > 0).astype(np.int64), first),
-                "train_tokens": np.full(len(first), int(n)),
+                "train_tokens": np.full(len(first), n_tokens),
                 "base_score": add(np.log10(base), first),
                 "score": add(np.log10(p), first),
+                "n_in_states": add(in_state, first),
             }
         )
+        return made.filter(pa.array(block.scored))
 
     return run
 
@@ -453,61 +406,75 @@ def held_out(id_column: Column, of: int = 5, rest: int = 1) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
+def _used(documents: DataFrame, training, id_column: str, text_column: str) -> DataFrame:
+    """``_id, _text, _use``: rows to score, to learn from, or both."""
+
+    def rows(df, use):
+        return df.select(
+            F.col(id_column).cast("bigint").alias("_id"),
+            F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("_text"),
+            use.cast("int").alias("_use"),
+        )
+
+    if isinstance(training, DataFrame):
+        return rows(documents, F.lit(SCORES)).unionAll(rows(training, F.lit(LEARNS)))
+    learns = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
+    return rows(documents, F.when(learns, SCORES + LEARNS).otherwise(SCORES))
+
+
 def score_texts(
     documents: DataFrame,
-    training: DataFrame | None = None,
+    training: DataFrame | Column | None = None,
     depth: int = DEPTH,
-    min_share: float = MIN_SHARE,
+    min_count: int = MIN_COUNT,
     min_divergence: float = MIN_DIVERGENCE,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """``_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``documents``.
+    """``_id, n_tokens, n_known, train_tokens, base_score, score, n_in_states`` for every row of
+    ``documents``.
 
-    The tree is learned from ``training`` (default: the documents themselves). ``score`` is the
-    log10 probability of the words of a text and its end, ``base_score`` that by the empty context
-    alone; ``n_known`` counts tokens that training has. Words are parted by white space and compared
-    with A to Z in lower case.
+    The tree is learned from ``training``: a condition on ``documents``, or other rows with the same
+    two columns (default: the documents themselves). ``score`` is the log10 probability of the words
+    of a text and its end, ``base_score`` that by the empty context alone; ``n_known`` counts tokens
+    that training has, ``n_in_states`` those that a context of one word or more scores. Words are
+    parted by white space and compared with A to Z in lower case.
 
     NULL and empty texts are an end alone. Without training text every token has the probability of
     an unknown word, which is then 1. Repeated rows are scored, and learned, each. An empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read. The counts are made when this is called.
     """
-    context = documents.sparkSession.sparkContext
-    training = documents if training is None else training
-    texts = training.select(F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("_text"))
-    candidates, _, n_bytes = find_candidates(texts, depth, min_share)
-    shared = context.broadcast(candidates)
-    blocks, parts = n_blocks(2 * n_bytes), max(48, -(-n_bytes // PART_BYTES))
-    counts = (
-        texts.mapInArrow(_next_words(shared, parts), _COUNTS)
-        .groupBy("_part")
-        .applyInArrow(_merge(parts), _COUNTS)
-    )
-    dealt = packed(documents, blocks, id_column, text_column)
-    asked = dealt.groupBy("_block").applyInArrow(
-        _ask(shared, parts), "_part INT, _block INT, _words BINARY, _states BINARY"
-    )
-    answers = stage(
-        counts.unionByName(asked, allowMissingColumns=True)
-        .groupBy("_part")
-        .applyInArrow(_answer(shared), _ANSWERS),
-        "suffix-tree-answers",
-    )
-    facts = (
-        answers.where("_state IS NOT NULL")
-        .groupBy("_state")
-        .agg(F.sum("_kinds"), F.sum("_n"), F.sum("_gain"))
-        .collect()  # one row per candidate
-    )
-    tree = context.broadcast(
-        grow(candidates, [tuple(r) for r in facts], min_share, min_divergence)
-    )
-    return (
-        dealt.unionByName(
-            answers.where("_block IS NOT NULL").select("_block", "_part", "_counts"),
-            allowMissingColumns=True,
+    texts = _used(documents, training, id_column, text_column)
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("_text") + 1), F.lit(0))).first()[0]
+    dealt = packed(texts, n_blocks(n_bytes, BLOCK_BYTES))
+    parts = max(LEAST_PARTS, -(-n_bytes // PART_BYTES))
+
+    def blocks(*heard: DataFrame):
+        known = dealt
+        for answers in heard:
+            known = known.unionByName(answers.where("_block IS NOT NULL"), allowMissingColumns=True)
+        return known.groupBy("_block")
+
+    def count(lengths: range, *heard: DataFrame):
+        asked = blocks(*heard).applyInArrow(_ask(lengths, parts, depth, min_count), _ASKED)
+        return stage(asked.groupBy("_part").applyInArrow(_count, _COUNTED), "suffix-tree-counts")
+
+    pairs = min(depth + 1, 2)
+    counts = count(range(1, pairs + 1))
+    n_tokens, n_words = counts.where("_block IS NULL").agg(F.sum("_n"), F.sum("_kinds")).first()
+    n_tokens, n_words = n_tokens or 0, n_words or 0
+    heard = [counts.select("_block", "_part", "_length", "_counts")]
+    if depth > 1:
+        counts = count(range(3, depth + 2), *heard)
+        heard.append(counts.select("_block", "_part", "_length", "_counts"))
+    if depth:
+        told = (
+            blocks(*heard)
+            .applyInArrow(_share(parts, depth, min_count, n_tokens), _SHARED)
+            .groupBy("_part")
+            .applyInArrow(_test(parts, depth, min_divergence), _TESTED)
+            .groupBy("_part")
+            .applyInArrow(_tell, _TOLD)
         )
-        .groupBy("_block")
-        .applyInArrow(_score(tree), _SCORES)
-    )
+        heard.append(told)
+    return blocks(*heard).applyInArrow(_score(depth, min_count, n_tokens, n_words), _SCORES)

@@ -72,7 +72,7 @@ def vector_links(rows, least):
     return [(i, n, None if i is None else groups.root(i)) for (i, _, _), n in zip(made, links)]
 
 
-def tree_scores(training, texts, depth, min_share, min_divergence):
+def tree_scores(training, texts, depth, min_count, min_divergence):
     """Scores by a suffix tree kept in dictionaries."""
     after = collections.defaultdict(collections.Counter)
 
@@ -84,11 +84,10 @@ def tree_scores(training, texts, depth, min_share, min_divergence):
         for i, word in enumerate(t):
             for k in range(min(depth, i) + 1):
                 after[tuple(t[i - k : i])][word] += 1
-    n = sum(after[()].values())
     kept = {()}
     for context in sorted(after, key=len, reverse=True):
         counts, total = after[context], sum(after[context].values())
-        if context and total >= min_share * n:
+        if context and total >= min_count:
             up = after[context[1:]]
             ups = sum(up.values())
             kl = sum(c / total * math.log((c / total) / (up[w] / ups)) for w, c in counts.items())

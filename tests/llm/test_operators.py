@@ -44,21 +44,53 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 300: 1, 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("min_share,min_divergence", [(2e-4, 0.02), (2e-3, 0.0), (0.5, 0.0)])
-def test_suffix_tree(spark, min_share, min_divergence):
+@pytest.mark.parametrize(
+    "depth,min_count,min_divergence,by_condition",
+    [
+        (2, 2, 0.02, True),
+        (4, 20, 0.02, False),
+        (5, 1, 1e-3, True),
+        (1, 5, 0.01, True),
+        (0, 1, 0.0, True),
+        (4, 10**6, 0.0, False),
+    ],
+)
+def test_suffix_tree(spark, depth, min_count, min_divergence, by_condition):
     rng = random.Random(3)
     vocabulary = ["the", "of", "cat", "sat", "on", "A", "mat.", "rare", "é"]
     texts = [" ".join(rng.choices(vocabulary, [9, 7, 3, 3, 3, 2, 2, 0.2, 1], k=rng.randint(0, 40))) for _ in range(300)]
     texts += ["the cat sat on the mat."] * 60
     docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
-    training = docs.where("doc_id % 5 != 1")
+    learns = F.col("doc_id") % 5 != 1
+    training = learns if by_condition else docs.where(learns)
     want, kept = brute.tree_scores(
-        [t for i, t in enumerate(texts) if i % 5 != 1], texts, 2, min_share, min_divergence
+        [t for i, t in enumerate(texts) if i % 5 != 1], texts, depth, min_count, min_divergence
     )
-    got = suffix_tree.score_texts(docs, training, 2, min_share, min_divergence).collect()
+    got = suffix_tree.score_texts(docs, training, depth, min_count, min_divergence).collect()
     scores = {r._id: r.score for r in got}
+    assert len(got) == len(texts)
     assert np.allclose([scores[i] for i in range(len(texts))], want, rtol=1e-9)
-    assert len(kept) > 3 or min_share == 0.5
+    if 0 < depth and min_count < 10**6:
+        assert max(map(len, kept)) == depth
+        assert any(r.n_in_states for r in got)
+    else:
+        assert kept == {()}
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Copies of a corpus under other words give as many further states, at the same scores."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 5)}" for _ in range(30)) for _ in range(40)]
+
+    def scored(copies):
+        docs = table(
+            spark,
+            [(c * 100 + i, t.replace("w", f"v{c}_"), "en", "s") for c in range(copies) for i, t in enumerate(texts)],
+        )
+        return suffix_tree.score_texts(docs, depth=3, min_count=8).collect()
+
+    share = [sum(r.n_in_states for r in rows) / sum(r.n_tokens for r in rows) for rows in map(scored, (1, 4))]
+    assert abs(share[0] - share[1]) < 0.02 and share[0] > 0.9
 
 
 def test_suffix_tree_beats_single_words(spark, directory):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BLOCK_BYTES = 16 << 20
 LEAST_BLOCKS = 48
-PACK_BYTES = 32 << 20
+PACK_BYTES = 12 << 20
 
 
 def n_blocks(n_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:

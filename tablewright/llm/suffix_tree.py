@@ -41,8 +41,8 @@ from tablewright.llm.common import stage
 DEPTH = 4  # words of the longest context
 MIN_COUNT = 20
 MIN_DIVERGENCE = 0.02
-BLOCK_BYTES = 6 << 20  # of text that a task holds at once
-PART_BYTES = 32 << 20  # of text for each part of the tables of counts
+BLOCK_BYTES = 3 << 20  # of text that a task holds at once
+PART_BYTES = 12 << 20  # of text for each part of the tables of counts
 LEAST_PARTS = 48
 SCORES, LEARNS = 1, 2  # what a row is for
 UNIT = 2.0**30  # shares of a block are whole multiples of 1 / UNIT
@@ -51,7 +51,7 @@ _RNG = np.random.default_rng(99)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -171,6 +171,7 @@ class _Block:
                 mine = np.flatnonzero(length == k)
                 told = np.concatenate([expand_numbers(answers[i], "<i8") for i in mine])
                 self.counts[k][self.at(k)] = told[self.distinct(k)[1]]
+                del self._distinct[k]
 
     def at(self, length: int) -> np.ndarray:
         """The tokens that end a run of ``length`` words which is asked for: the pairs that the run

@@ -45,7 +45,7 @@ BLOCK_BYTES = 3 << 20  # of text that a task holds at once
 PART_BYTES = 12 << 20  # of text for each part of the tables of counts
 LEAST_PARTS = 48
 SCORES, LEARNS = 1, 2  # what a row is for
-UNIT = 2.0**30  # shares of a block are whole multiples of 1 / UNIT
+UNIT = 2.0**24  # shares of a block are whole multiples of 1 / UNIT
 
 _RNG = np.random.default_rng(99)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,6 +146,15 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[t]) for n, c, t in zip(names, columns, types)})
 
 
+def _folded(numbers: np.ndarray) -> np.ndarray:
+    """Numbers of either sign as numbers from 0 on, whose high bytes are zeros."""
+    return 2 * np.abs(numbers) + (numbers < 0)
+
+
+def _unfolded(numbers: np.ndarray) -> np.ndarray:
+    return np.where(numbers & 1, -(numbers >> 1), numbers >> 1)
+
+
 class _Block:
     """The tokens of a block, the hashes of the runs of words that end at each, and the counts that
     it has heard. ``grams[k]`` and ``counts[k]`` are of runs of k words; 0 where there is none."""
@@ -161,6 +170,7 @@ class _Block:
         self.learns = np.repeat((uses & LEARNS) > 0, self.per_text)
         self.grams = {1: self.tokens}
         self.counts = defaultdict(lambda: np.zeros(len(self.tokens), np.int64))
+        self.own = {}
         self._distinct, self._at = {}, {1: np.arange(len(self.tokens))}
         if "_counts" in table.column_names:
             heard = table.filter(table.column("_counts").is_valid())
@@ -169,8 +179,11 @@ class _Block:
             answers = heard.column("_counts").to_pylist()
             for k in np.unique(length).tolist():
                 mine = np.flatnonzero(length == k)
-                told = np.concatenate([expand_numbers(answers[i], "<i8") for i in mine])
-                self.counts[k][self.at(k)] = told[self.distinct(k)[1]]
+                told = np.concatenate([_unfolded(expand_numbers(answers[i], "<i8")) for i in mine])
+                told = told[self.distinct(k)[1]]
+                self.counts[k][self.at(k)] = np.abs(told)
+                self.own[k] = np.zeros(len(self.tokens), bool)
+                self.own[k][self.at(k)] = told < 0
                 del self._distinct[k]
 
     def at(self, length: int) -> np.ndarray:
@@ -206,9 +219,10 @@ class _Block:
 
     def facts(self, depth: int, n_tokens: int) -> tuple[np.ndarray, ...]:
         """The candidates of the block in the order of their hashes: hash, shares of the divergence
-        and of the different next words, count, count of the suffix, and the hashes of the shorter
-        suffixes (0: none). Also, for each length, which candidate each token follows."""
-        keys, chains, shares, kinds, counts, ups, follows = [], [], [], [], [], [], []
+        and of the different next words, and which of them the block speaks for; of these the count,
+        the count of the suffix, and the hashes of the shorter suffixes (0: none). Also, for each
+        length, which candidate each token follows."""
+        keys, chains, shares, kinds, owns, counts, ups, follows = [], [], [], [], [], [], [], []
         for length in range(1, depth + 1):
             at = self.candidates(length)
             key, first, inverse = np.unique(
@@ -222,9 +236,11 @@ class _Block:
             shares.append(np.bincount(mine, gain, len(key)))
             kinds.append(np.bincount(mine, 1 / n, len(key)))
             last = at[first] - 1
+            owns.append(self.own[length][last] if len(last) else np.zeros(0, bool))
+            last = last[owns[-1]]
             counts.append(self.counts[length][last])
-            ups.append(self.counts[length - 1][last] if length > 1 else np.full(len(key), n_tokens))
-            chain = np.zeros((len(key), depth), np.uint64)
+            ups.append(self.counts[length - 1][last] if length > 1 else np.full(len(last), n_tokens))
+            chain = np.zeros((len(last), depth), np.uint64)
             for shorter in range(1, length):
                 chain[:, shorter - 1] = self.grams[shorter][last]
             chains.append(chain)
@@ -238,8 +254,11 @@ class _Block:
             placed.append((at, rank[done : done + len(k)][inverse]))
             done += len(k)
         whole = [np.rint(np.concatenate(x)[order] * UNIT).astype(np.int64) for x in (shares, kinds)]
-        plain = [np.concatenate(x)[order].astype(np.int64) for x in (counts, ups)]
-        return key[order], *whole, *plain, np.concatenate(chains)[order], placed
+        own = np.concatenate(owns)
+        spoken = np.argsort(key[own])
+        own = own[order]
+        of_own = [np.concatenate(x)[spoken] for x in (counts, ups, chains)]
+        return key[order], *whole, own, *of_own, placed
 
 
 _ASKED = "_part INT, _block INT, _length INT, _keys BINARY, _counts BINARY"
@@ -265,30 +284,34 @@ def _ask(lengths: range, parts: int, depth: int, min_count: int):
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """The counts of a part for the blocks that ask, in their order; under no block, how many
-    single tokens there are and how many different ones."""
+    """The counts of a part for the blocks that ask, in their order, below zero for the one block
+    that is to speak for the run in round 3; under no block, how many single tokens there are and
+    how many different ones."""
     part = table.column("_part")[0].as_py()
     rows = []
     for length in table.column("_length").unique().to_pylist():
         mine = table.filter(pc.equal(table.column("_length"), length))
         keys = [_sums(x) for x in mine.column("_keys").to_pylist()]
         given = [expand_numbers(x, "<i8") for x in mine.column("_counts").to_pylist()]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        distinct, first, inverse = np.unique(
+            np.concatenate(keys), return_index=True, return_inverse=True
+        )
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, inverse, np.concatenate(given))
         if length == 1:
             rows.append((None, part, None, None, int(total.sum()), int((total > 0).sum())))
-        done = 0
+        told, done = total[inverse], 0
+        told[first] *= -1
         for block, k in zip(mine.column("_block").to_pylist(), keys):
-            told = total[inverse[done : done + len(k)]]
+            answer = squeeze_numbers(_folded(told[done : done + len(k)]))
             done += len(k)
-            rows.append((block, part, length, squeeze_numbers(told), None, None))
+            rows.append((block, part, length, answer, None, None))
     return _rows(_COUNTED, rows)
 
 
 _SHARED = (
-    "_part INT, _block INT, _keys BINARY, _gain BINARY, _kinds BINARY, _n BINARY, _up BINARY, "
-    "_chain BINARY"
+    "_part INT, _block INT, _keys BINARY, _gain BINARY, _kinds BINARY, _own BINARY, _n BINARY, "
+    "_up BINARY, _chain BINARY"
 )
 _TESTED = "_part INT, _block INT, _keys BINARY, _kinds BINARY, _state BINARY"
 _TOLD = "_block INT, _part INT, _states BINARY"
@@ -299,12 +322,14 @@ def _share(parts: int, depth: int, min_count: int, n_tokens: int):
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("_block")[0].as_py()
-        keys, *numbers, chain, _ = _Block(table, depth, min_count).facts(depth, n_tokens)
-        rows = [
-            (p, number, _steps(keys[a:b]), *(squeeze_numbers(x[a:b]) for x in numbers),
-             squeeze_numbers(chain[a:b].reshape(-1)))
-            for p, a, b in _cut(_part(keys, parts))
-        ]
+        block = _Block(table, depth, min_count)
+        keys, gain, kinds, own, n, up, chain, _ = block.facts(depth, n_tokens)
+        spoken, rows = np.append(0, np.cumsum(own)), []
+        for p, a, b in _cut(_part(keys, parts)):
+            mine = slice(spoken[a], spoken[b])
+            of_all = (gain[a:b], kinds[a:b], own[a:b].astype("<i4"))
+            of_own = (n[mine], up[mine], chain[mine].reshape(-1))
+            rows.append((p, number, _steps(keys[a:b]), *map(squeeze_numbers, of_all + of_own)))
         return _rows(_SHARED, rows)
 
     return run
@@ -321,17 +346,18 @@ def _test(parts: int, depth: int, min_divergence: float):
             return np.concatenate([expand_numbers(x, kind) for x in table.column(name).to_pylist()])
 
         asked = table.column("_keys").to_pylist()
-        keys, first, inverse = np.unique(
-            np.concatenate([_sums(x) for x in asked]), return_index=True, return_inverse=True
-        )
+        keys, inverse = np.unique(np.concatenate([_sums(x) for x in asked]), return_inverse=True)
         share = np.zeros((2, len(keys)), np.int64)
         np.add.at(share[0], inverse, column("_gain", "<i8"))
         np.add.at(share[1], inverse, column("_kinds", "<i8"))
-        n, up = column("_n", "<i8")[first], column("_up", "<i8")[first]
+        # One block speaks for each candidate.
+        spoken = inverse[column("_own", "<i4") > 0]
+        order = np.argsort(spoken)
+        n, up = column("_n", "<i8")[order], column("_up", "<i8")[order]
         kinds = np.rint(share[1] / UNIT).astype(np.int64)
         divergence = share[0] / UNIT / n - np.log(n / up)
         passes = divergence - (kinds - 1) / (2 * n) >= min_divergence
-        chain = column("_chain", "<u8").reshape(-1, depth)[first][passes]
+        chain = column("_chain", "<u8").reshape(-1, depth)[order][passes]
         suffixes = np.unique(chain[chain > 0])
         rows = [(part, None, _steps(keys), squeeze_numbers(kinds), squeeze_numbers(passes.astype("<i4")))]
         rows += [(p, None, _steps(suffixes[a:b]), None, None) for p, a, b in _cut(_part(suffixes, parts))]
@@ -477,5 +503,5 @@ def score_texts(
             .groupBy("_part")
             .applyInArrow(_tell, _TOLD)
         )
-        heard.append(told)
+        heard.append(stage(told, "suffix-tree-states"))
     return blocks(*heard).applyInArrow(_score(depth, min_count, n_tokens, n_words), _SCORES)

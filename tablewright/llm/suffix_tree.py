@@ -41,8 +41,8 @@ from tablewright.llm.common import stage
 DEPTH = 4  # words of the longest context
 MIN_COUNT = 20
 MIN_DIVERGENCE = 0.02
-BLOCK_BYTES = 3 << 20  # of text that a task holds at once
-PART_BYTES = 12 << 20  # of text for each part of the tables of counts
+BLOCK_BYTES = 2 << 20  # of text that a task holds at once
+PART_BYTES = 6 << 20  # of text for each part of the tables of counts
 LEAST_PARTS = 48
 SCORES, LEARNS = 1, 2  # what a row is for
 UNIT = 2.0**24  # shares of a block are whole multiples of 1 / UNIT
@@ -244,7 +244,7 @@ class _Block:
             for shorter in range(1, length):
                 chain[:, shorter - 1] = self.grams[shorter][last]
             chains.append(chain)
-            follows.append((at, inverse))
+            follows.append((at.astype(np.int32), inverse.astype(np.int32)))
         key = np.concatenate(keys)
         order = np.argsort(key)
         rank = np.empty(len(order), np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.sources.folders import fresh_folder
@@ -47,6 +49,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds any more.
+
+    Spark does so when the driver's JVM collects its garbage, which may be long after a round has
+    been staged; until then every round's files stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

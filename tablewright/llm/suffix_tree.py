@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.blocks import expand_numbers, n_blocks, packed, squeeze_numbers, unpacked
-from tablewright.llm.common import stage
+from tablewright.llm.common import drop_old_shuffles, stage
 
 DEPTH = 4  # words of the longest context
 MIN_COUNT = 20
@@ -45,7 +45,7 @@ BLOCK_BYTES = 2 << 20  # of text that a task holds at once
 PART_BYTES = 6 << 20  # of text for each part of the tables of counts
 LEAST_PARTS = 48
 SCORES, LEARNS = 1, 2  # what a row is for
-UNIT = 2.0**24  # shares of a block are whole multiples of 1 / UNIT
+UNIT = 2.0**16  # shares of a block are whole multiples of 1 / UNIT
 
 _RNG = np.random.default_rng(99)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -484,7 +484,10 @@ def score_texts(
 
     def count(lengths: range, *heard: DataFrame):
         asked = blocks(*heard).applyInArrow(_ask(lengths, parts, depth, min_count), _ASKED)
-        return stage(asked.groupBy("_part").applyInArrow(_count, _COUNTED), "suffix-tree-counts")
+        made = stage(asked.groupBy("_part").applyInArrow(_count, _COUNTED), "suffix-tree-counts")
+        del asked
+        drop_old_shuffles(documents.sparkSession)
+        return made
 
     pairs = min(depth + 1, 2)
     counts = count(range(1, pairs + 1))
@@ -504,4 +507,6 @@ def score_texts(
             .applyInArrow(_tell, _TOLD)
         )
         heard.append(stage(told, "suffix-tree-states"))
+        del told
+        drop_old_shuffles(documents.sparkSession)
     return blocks(*heard).applyInArrow(_score(depth, min_count, n_tokens, n_words), _SCORES)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.sources.folders import fresh_folder
@@ -11,6 +9,7 @@ from tablewright.sources.folders import fresh_folder
 #: White space of all contracts: the blank and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "\\x20\\x09-\\x0D"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,14 +48,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_old_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nobody holds any more.
-
-    Spark does so when the driver's JVM collects its garbage, which may be long after a round has
-    been staged; until then every round's files stay on the executors' disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def stage_and_free(df: DataFrame, label: str) -> DataFrame:
+    """:func:`stage`, and the shuffle files behind ``df`` are deleted when it is written, not at some
+    later garbage collection of the driver. For frames that are read this once."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return stage(df, label)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

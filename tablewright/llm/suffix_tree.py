@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.blocks import expand_numbers, n_blocks, packed, squeeze_numbers, unpacked
-from tablewright.llm.common import drop_old_shuffles, stage
+from tablewright.llm.common import stage_and_free
 
 DEPTH = 4  # words of the longest context
 MIN_COUNT = 20
@@ -484,10 +484,8 @@ def score_texts(
 
     def count(lengths: range, *heard: DataFrame):
         asked = blocks(*heard).applyInArrow(_ask(lengths, parts, depth, min_count), _ASKED)
-        made = stage(asked.groupBy("_part").applyInArrow(_count, _COUNTED), "suffix-tree-counts")
-        del asked
-        drop_old_shuffles(documents.sparkSession)
-        return made
+        counted = asked.groupBy("_part").applyInArrow(_count, _COUNTED)
+        return stage_and_free(counted, "suffix-tree-counts")
 
     pairs = min(depth + 1, 2)
     counts = count(range(1, pairs + 1))
@@ -506,7 +504,5 @@ def score_texts(
             .groupBy("_part")
             .applyInArrow(_tell, _TOLD)
         )
-        heard.append(stage(told, "suffix-tree-states"))
-        del told
-        drop_old_shuffles(documents.sparkSession)
+        heard.append(stage_and_free(told, "suffix-tree-states"))
     return blocks(*heard).applyInArrow(_score(depth, min_count, n_tokens, n_words), _SCORES)

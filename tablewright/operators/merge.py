@@ -8,7 +8,8 @@ clause takes stays as it is (a source row that no clause takes is not inserted).
 Keys are compared for equality, so a NULL in a key meets nothing. Rows with such a key, however many,
 are not shuffled for the join. The target is the left side of an outer join: a small source is
 broadcast by size and the target then stays where it is, and a hot key of a large one is split. Which
-source rows meet nothing is asked of the keys alone.
+source rows meet nothing is asked of the keys alone, in as many tasks as the session has shuffle
+partitions: what a task holds there is that share of the keys.
 """
 
 from __future__ import annotations
@@ -181,7 +182,10 @@ def added_rows(target: DataFrame, source: DataFrame, merge: Merge) -> DataFrame:
     t, s, keys = _sides(target, source, merge)
     schema = target.schema
     _stored(s, schema, merge.not_matched, source)
-    wanted = _keys_of(SOURCE, s, keys).distinct().alias(SOURCE)
+    # Keys alone are so small when shuffled that Spark would put millions of them into one task.
+    n = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = _keys_of(SOURCE, s, keys).repartition(n, *map(quoted, keys))
+    wanted = spread.distinct().alias(SOURCE)
     met_keys = _keys_of(TARGET, t.join(wanted, _same(keys), "left_semi"), keys).distinct()
     new = (
         s.where(~_any_null(SOURCE, keys))

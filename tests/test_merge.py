@@ -4,9 +4,19 @@ import random
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from tablewright.operators import versions
-from tablewright.operators.merge import Delete, Insert, Merge, Update, merge_rows, merged_rows
+from tablewright.operators.merge import (
+    Delete,
+    Insert,
+    Merge,
+    Update,
+    added_rows,
+    merge_rows,
+    merged_rows,
+)
+from tablewright.session import isolated_session
 from tests.conftest import rows
 
 TARGET = "id INT, name STRING, amount DOUBLE"
@@ -136,3 +146,15 @@ def test_versions(spark, folder, target, source):
     assert [r.operation for r in versions.history(spark, root).orderBy("version").collect()] == [
         "create", "append", "merge"
     ]
+
+
+def test_keys_are_not_gathered_into_few_tasks(spark):
+    """Small as they are when shuffled, the keys of both sides stay in all shuffle partitions."""
+    session = isolated_session(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    target = session.range(20000).selectExpr("2 * id AS id", "0D AS amount")
+    source = session.range(20000).selectExpr("3 * id AS id", "1D AS amount")
+    added = added_rows(target, source, Merge(["id"], not_matched=[Insert()]))
+    per_task = added.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(per_task) == 8 and max(r.n for r in per_task) < 2 * (10000 + 3333) / 8
+    ids = {r[0] for r in added.select("__row.id").collect()}
+    assert ids == {i for i in range(0, 60000, 3) if i % 2 or i >= 40000}

@@ -173,6 +173,31 @@ def test_tasks_of_a_key_that_is_hot_on_both_sides_are_bounded(spark, monkeypatch
     assert full_outer_join(left, right, [("k", "m")]).count() == 1001 * 301 + 1999
 
 
+@pytest.mark.parametrize("pairs", [1, 7, 500])
+def test_full_outer_join_of_keys_with_many_pairs(spark, monkeypatch, pairs):
+    """Few rows, so that no key is heavy by them; repeated rows, NULLs, keys that one side lacks."""
+    monkeypatch.setattr(skew_join, "TASK_PAIRS", pairs)
+    a = [(k, i) for k in range(5) for i in range(30)] + [(7, 7)] * 20 + [(None, 1), (9, 1)]
+    b = [(k, i) for k in range(2, 8) for i in range(25)] + [(0, 1), (8, 1), (None, 2)]
+    left, right = spark.createDataFrame(a, "k INT, x INT"), spark.createDataFrame(b, "m BIGINT, y INT")
+    want = left.join(right, F.col("k") == F.col("m"), "full")
+    assert rows(full_outer_join(left, right, [("k", "m")])) == rows(want)
+    some = full_outer_join(left.where("k > 100"), right, [("k", "m")])
+    assert rows(some) == rows(left.where("k > 100").join(right, F.col("k") == F.col("m"), "full"))
+
+
+def test_pairs_of_keys_with_few_rows_are_bounded(spark):
+    """Six million pairs of 4,000 and 3,000 rows, and half a million each of eight more keys."""
+    left = spark.range(4000).selectExpr("id % 2 AS k", "id AS x")
+    right = spark.range(3000).selectExpr("id % 2 AS m", "id AS y")
+    left = left.unionAll(spark.range(5600).selectExpr("2 + id % 8 AS k", "id AS x"))
+    right = right.unionAll(spark.range(5600).selectExpr("2 + id % 8 AS m", "id AS y"))
+    joined = full_outer_join(left, right, [("k", "m")])
+    tasks = joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in tasks) == 2 * 2000 * 1500 + 8 * 700 * 700
+    assert max(r.n for r in tasks) < 3_500_000
+
+
 def test_reached(spark):
     links = [(i, i + 1) for i in range(30)] + [(0, 10), (5, 5), (None, 3), (3, None), (50, 51), (31, 0)]
     df = spark.createDataFrame(links, "source INT, target INT")

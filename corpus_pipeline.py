@@ -61,15 +61,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of every document that the mix has, and whether they give the text back. NULL
-    and empty texts have no pieces; every row is encoded, also one that repeats an id."""
-    encoded = pieces.encode(docs, piece_model())
+    """The piece ids of every document that the mix has: ``ids``, as the model's own encoder merges
+    them, and ``path_ids``, the best path through the lattice (Viterbi); and whether both give the text
+    back. NULL and empty texts have no pieces; every row is encoded, also one that repeats an id."""
+    encoded = pieces.encode(docs, piece_model(), paths=True)
     text = F.replace(F.coalesce("_text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
     return encoded.select(
         F.col("_id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_pieces"),
         "ids",
-        (F.col("decoded") == text).alias("round_trip"),
+        "path_ids",
+        ((F.col("decoded") == text) & F.col("path_agrees")).alias("round_trip"),
     )
 
 

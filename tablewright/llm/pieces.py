@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MARK = "▁"  # stands for a blank
 MAX_CHARS = 60  # of a word whose boundaries are bits of a number; longer ones are merged by a queue
 GROUP_BYTES = 2 << 20  # of texts that a task looks at together
+UNKNOWN_PENALTY = 10.0  # below the worst score, as the library has it
 
 
 @dataclass(frozen=True)
@@ -339,6 +340,7 @@ class Lattice:
         self.first, self.second, self.sizes = first[order], second[order], sizes[order]
         self.ranks = np.array([ranks[-s] for _, s, _ in pieces.table], np.int64)[order]
         self.ids = np.array([i for _, _, i in pieces.table], np.int64)[order]
+        self.scores = np.array([s for _, s, _ in pieces.table], np.float64)[order]
         if (self.first[1:] == self.first[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.longest = int(sizes.max(initial=1))
@@ -390,6 +392,14 @@ class Lattice:
         start = np.flatnonzero((state[word_of] >> place) & 1)
         length = np.diff(np.append(start, len(points)))
         row = self.lookup(hashes[0].of(start, length))
+        ids, counts = self.ids_of(points, start, row)
+        per_word = np.bincount(word_of[start], counts, len(sizes)).astype(np.int64)
+        return ids, per_word
+
+    def ids_of(
+        self, points: np.ndarray, start: np.ndarray, row: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces by row (-1: none), and how many each has."""
         known = row >= 0
         # Only single characters can be no piece; their bytes are.
         counts = np.ones(len(start), np.int64)
@@ -401,8 +411,7 @@ class Lattice:
         for at, p in zip(offsets[:-1][~known], points[start[~known]]):
             octets = characters[int(p)]
             ids[at : at + len(octets)] = octets
-        per_word = np.bincount(word_of[start], counts, len(sizes)).astype(np.int64)
-        return ids, per_word
+        return ids, counts
 
     def merged(
         self, points: np.ndarray, begins: np.ndarray, word_of: np.ndarray, hashes: list[Hashes]
@@ -410,23 +419,7 @@ class Lattice:
         """For every word the boundaries between its pieces, as bits, when no merge is left."""
         sizes = np.diff(begins)
         state = (np.int64(1) << (sizes + 1)) - 1
-        room = begins[1:][word_of] - np.arange(len(points))
-        starts, rows = [], []
-        at = np.arange(len(points))
-        for length in range(2, self.longest + 1):
-            at = at[room[at] >= length]
-            if not len(at):
-                break
-            row = self.lookup(hashes[0].of(at, length))
-            hit = np.flatnonzero(row >= 0)
-            starts.append(at[hit])
-            rows.append(row[hit])
-        if not starts:
-            return state
-        start, row = np.concatenate(starts), np.concatenate(rows)
-        length = self.sizes[row]
-        sure = self.second[row] == hashes[1].of(start, length)
-        start, row, length = start[sure], row[sure], length[sure]
+        start, row, length = self.edges(points, begins, word_of, hashes)
         word = word_of[start]
         order = np.lexsort([start, self.ranks[row], word])
         word, begin, length = word[order], (start - begins[word_of[start]])[order], length[order]
@@ -448,6 +441,77 @@ class Lattice:
             word, ends, inside = word[stays], ends[stays], inside[stays]
         return state
 
+    def edges(
+        self, points: np.ndarray, begins: np.ndarray, word_of: np.ndarray, hashes: list[Hashes]
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of two characters or more in the words: start, row and length."""
+        room = begins[1:][word_of] - np.arange(len(points))
+        starts, rows = [], []
+        at = np.arange(len(points))
+        for length in range(2, self.longest + 1):
+            at = at[room[at] >= length]
+            if not len(at):
+                break
+            row = self.lookup(hashes[0].of(at, length))
+            hit = np.flatnonzero(row >= 0)
+            starts.append(at[hit])
+            rows.append(row[hit])
+        none = np.zeros(0, np.int64)
+        start, row = np.concatenate([none, *starts]), np.concatenate([none, *rows])
+        length = self.sizes[row]
+        sure = self.second[row] == hashes[1].of(start, length)
+        return start[sure], row[sure], length[sure]
+
+    def best_paths(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, but the ids of the path with the highest sum of scores (Viterbi).
+
+        Boundaries are reached from left to right, in all words at once; each keeps its best sum and
+        the edge that ends there, of equal sums the one that begins first. A character that is no piece
+        is an edge ``UNKNOWN_PENALTY`` below the worst score, and its bytes are its ids.
+        """
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        points = points_of(words)
+        begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        word_of = np.repeat(np.arange(len(sizes)), sizes)
+        hashes = [Hashes(points, salt) for salt in SALTS]
+        start, row, length = self.edges(points, begins, word_of, hashes)
+        single = np.arange(len(points))
+        start = np.concatenate([start, single])
+        row = np.concatenate([row, self.lookup(hashes[0].of(single, 1))])
+        length = np.concatenate([length, np.ones(len(points), np.int64)])
+        place = start + length - begins[word_of[start]]
+        order = np.lexsort([start, start + length, place])
+        start, row, length, place = start[order], row[order], length[order], place[order]
+        least = self.scores.min(initial=0.0) - UNKNOWN_PENALTY
+        score = np.where(row >= 0, self.scores[row], least)
+        # A word of n characters has n + 1 boundaries.
+        left = start + word_of[start]
+        right = left + length
+        best, back = np.zeros(len(points) + len(sizes)), np.zeros(len(points) + len(sizes), np.int64)
+        steps = np.append(np.flatnonzero(np.diff(place, prepend=0)), len(place))
+        for a, b in zip(steps.tolist(), steps[1:].tolist()):
+            total = best[left[a:b]] + score[a:b]
+            first = np.flatnonzero(np.diff(right[a:b], prepend=-1))
+            top = np.maximum.reduceat(total, first)
+            hit = np.flatnonzero(total == np.repeat(top, np.diff(np.append(first, b - a))))
+            at = right[a:b][hit]
+            kept = hit[np.diff(at, prepend=-1) != 0]
+            best[right[a + kept]], back[right[a + kept]] = top, a + kept
+        origin = begins[:-1] + np.arange(len(sizes))
+        now, made = origin + sizes, []
+        while True:
+            going = now > origin
+            now, origin = now[going], origin[going]
+            if not len(now):
+                break
+            made.append(back[now])
+            now = left[made[-1]]
+        chosen = np.concatenate([np.zeros(0, np.int64), *made])
+        chosen = chosen[np.argsort(start[chosen])]
+        ids, counts = self.ids_of(points, start[chosen], row[chosen])
+        per_word = np.bincount(word_of[start[chosen]], counts, len(sizes)).astype(np.int64)
+        return ids, np.concatenate([[0], np.cumsum(per_word)])
+
 
 def positions(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers ``begins[i]`` to ``begins[i] + counts[i] - 1`` for every i, one behind the other."""
@@ -496,9 +560,12 @@ def encode(
     pieces: Pieces,
     id_column: str = "doc_id",
     text_column: str = "text",
+    paths: bool = False,
 ) -> DataFrame:
     """``_id, _text, ids, decoded`` for every row of ``documents``: the ids that the model's own
-    encoder gives for the whole text, and the text that they decode to.
+    encoder gives for the whole text, and the text that they decode to. With ``paths`` also
+    ``path_ids``, those of the path of the highest sum of scores through the same lattice, and
+    ``path_agrees``, whether they decode to the same text.
 
     Decoding gives back every text but one with a mark (U+2581) in it, which becomes a blank. NULL
     and empty texts have no pieces (``_text`` keeps NULL; ``decoded`` is then empty). Repeated rows
@@ -510,21 +577,29 @@ def encode(
         F.col(id_column).cast("bigint").alias("_id"), F.col(text_column).alias("_text")
     )
 
+    schema = "_id BIGINT, _text STRING, ids ARRAY<INT>, decoded STRING"
+    schema += ", path_ids ARRAY<INT>, path_agrees BOOLEAN" if paths else ""
+    names = [column.split()[0] for column in schema.split(", ")]
+
     def answer(batch: pa.RecordBatch, lattice: Lattice) -> pa.RecordBatch:
         texts = batch.column(1)
         words, n_words = words_of(texts)
         coded = words.dictionary_encode()
-        ids, begins = lattice.encode(coded.dictionary)
         number = coded.indices.to_numpy(zero_copy_only=False)
-        counts = np.diff(begins)[number]
-        flat = ids[positions(begins[:-1][number], counts)]
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        cuts = upto[np.concatenate([[0], np.cumsum(n_words)])]
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), texts, lists, decoded(flat, cuts, lattice)],
-            ["_id", "_text", "ids", "decoded"],
-        )
+
+        def of_texts(ids: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, pa.Array]:
+            counts = np.diff(begins)[number]
+            flat = ids[positions(begins[:-1][number], counts)]
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            cuts = upto[np.concatenate([[0], np.cumsum(n_words)])]
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
+            return lists, decoded(flat, cuts, lattice)
+
+        columns = [batch.column(0), texts, *of_texts(*lattice.encode(coded.dictionary))]
+        if paths:
+            lists, again = of_texts(*lattice.best_paths(coded.dictionary))
+            columns += [lists, pc.equal(again, columns[-1])]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value)
@@ -535,7 +610,7 @@ def encode(
             for a, b in zip(cuts, cuts[1:]):
                 yield answer(batch.slice(a, b - a), lattice)
 
-    return read.mapInArrow(run, "_id BIGINT, _text STRING, ids ARRAY<INT>, decoded STRING")
+    return read.mapInArrow(run, schema)
 
 
 def decoded(ids: np.ndarray, cuts: np.ndarray, lattice: Lattice) -> pa.Array:

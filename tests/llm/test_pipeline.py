@@ -1,8 +1,10 @@
 """Each stage of the pipeline against a plain version, on its own input."""
 
 import collections
+import re
 
 import corpus_pipeline
+from tablewright.llm.queries import piece_model
 from tests.llm import brute
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -94,3 +96,37 @@ def test_rows_without_an_id(spark):
     encoded = STAGES["pieces"](spark, docs.repartition(6), "")
     assert encoded.where("round_trip AND doc_id IS NULL").count() == 20000
     assert encoded.groupBy("ids").count().count() == 20000
+
+
+def best_path(word, known, least):
+    """The highest sum of scores of a word and its pieces, by every cut; of equal sums the longest
+    last piece."""
+    found = {0: (0.0, [])}
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            piece = word[start:end]
+            if piece in known or len(piece) == 1:
+                score = found[start][0] + known.get(piece, least)
+                if end not in found or score > found[end][0]:
+                    found[end] = (score, found[start][1] + [piece])
+    return found[len(word)][1]
+
+
+def test_pieces_stage_takes_the_best_path(spark):
+    """Viterbi over the lattice, with bytes for what is no piece, and words of any length."""
+    model = piece_model()
+    known = {text: score for text, score, _ in model.table}
+    number = {text: i for text, _, i in model.table}
+    least = min(known.values()) - 10
+    texts = ["unbelievable transformations of tokenizers", "a  b", "x" * 90 + " internationalization"]
+    texts += ["na\u00efve \u4e16\u754c \U0001f600\U00012345", "line one\nline two", "", None, "\n", " "]
+    docs = clashing(spark, list(enumerate(texts)))
+    got = {r.doc_id: r for r in STAGES["pieces"](spark, docs, "").collect()}
+    for i, text in enumerate(texts):
+        # The words do not share pieces: a line end is a word, and marks begin one.
+        words = re.findall("\n|\u2581+[^\u2581\n]*|[^\u2581\n]+", "\u2581" + text.replace(" ", "\u2581")) if text else []
+        want = []
+        for piece in (p for w in words for p in best_path(w, known, least)):
+            want += [number[piece]] if piece in number else [model.byte_ids[o] for o in piece.encode()]
+        assert got[i].path_ids == want and got[i].round_trip
+    assert any(r.path_ids != r.ids for r in got.values())

@@ -171,7 +171,8 @@ class _Block:
         self.grams = {1: self.tokens}
         self.counts = defaultdict(lambda: np.zeros(len(self.tokens), np.int64))
         self.own = {}
-        self._distinct, self._at = {}, {1: np.arange(len(self.tokens))}
+        self.index = defaultdict(lambda: np.zeros(len(self.tokens), np.int32))
+        self._distinct, self._at = {}, {1: np.arange(len(self.tokens), dtype=np.int32)}
         if "_counts" in table.column_names:
             heard = table.filter(table.column("_counts").is_valid())
             heard = heard.sort_by([("_length", "ascending"), ("_part", "ascending")])
@@ -180,11 +181,15 @@ class _Block:
             for k in np.unique(length).tolist():
                 mine = np.flatnonzero(length == k)
                 told = np.concatenate([_unfolded(expand_numbers(answers[i], "<i8")) for i in mine])
-                told = told[self.distinct(k)[1]]
+                inverse = self.distinct(k)[1]
+                told = told[inverse]
                 self.counts[k][self.at(k)] = np.abs(told)
                 self.own[k] = np.zeros(len(self.tokens), bool)
                 self.own[k][self.at(k)] = told < 0
-                del self._distinct[k]
+                if k <= depth:
+                    self.index[k] = np.zeros(len(self.tokens), np.int32)
+                    self.index[k][self.at(k)] = inverse
+                del self._distinct[k], inverse
 
     def at(self, length: int) -> np.ndarray:
         """The tokens that end a run of ``length`` words which is asked for: the pairs that the run
@@ -217,25 +222,44 @@ class _Block:
         at = self.at(length + 1)
         return at[self.counts[length][at - 1] >= self.min_count]
 
+    def contexts(self, length: int) -> tuple[np.ndarray, ...]:
+        """The candidates of one length in the order of their hashes, a token that ends each, the
+        tokens that follow one, and which."""
+        at = self.candidates(length)
+        kind = self.index[length][at - 1]
+        last = np.full(kind.max(initial=-1) + 1, -1, np.int32)
+        last[kind] = at - 1
+        found = last >= 0
+        inverse = (np.cumsum(found, dtype=np.int32) - np.int32(1))[kind]
+        last = last[found]
+        return self.grams[length][last], last, at, inverse
+
+    def follows(self, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, the tokens that follow a candidate and the number of that candidate in
+        the order of :func:`facts`."""
+        contexts = [self.contexts(length) for length in range(1, depth + 1)]
+        order = np.argsort(np.concatenate([keys for keys, _, _, _ in contexts]))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        done, placed = 0, []
+        for keys, _, at, inverse in contexts:
+            placed.append((at, rank[done : done + len(keys)][inverse]))
+            done += len(keys)
+        return placed
+
     def facts(self, depth: int, n_tokens: int) -> tuple[np.ndarray, ...]:
         """The candidates of the block in the order of their hashes: hash, shares of the divergence
         and of the different next words, and which of them the block speaks for; of these the count,
-        the count of the suffix, and the hashes of the shorter suffixes (0: none). Also, for each
-        length, which candidate each token follows."""
-        keys, chains, shares, kinds, owns, counts, ups, follows = [], [], [], [], [], [], [], []
-        for length in range(1, depth + 1):
-            at = self.candidates(length)
-            key, first, inverse = np.unique(
-                self.grams[length][at - 1], return_index=True, return_inverse=True
-            )
+        the count of the suffix, and the hashes of the shorter suffixes (0: none)."""
+        chains, shares, kinds, owns, counts, ups = [], [], [], [], [], []
+        contexts = [self.contexts(length) for length in range(1, depth + 1)]
+        for length, (keys, last, at, inverse) in enumerate(contexts, 1):
             learnt = self.learns[at]
             mine, token = inverse[learnt], at[learnt]
             n = self.counts[length + 1][token]
             gain = np.log(n / self.counts[length][token])
-            keys.append(key)
-            shares.append(np.bincount(mine, gain, len(key)))
-            kinds.append(np.bincount(mine, 1 / n, len(key)))
-            last = at[first] - 1
+            shares.append(np.bincount(mine, gain, len(keys)))
+            kinds.append(np.bincount(mine, 1 / n, len(keys)))
             owns.append(self.own[length][last] if len(last) else np.zeros(0, bool))
             last = last[owns[-1]]
             counts.append(self.counts[length][last])
@@ -244,21 +268,14 @@ class _Block:
             for shorter in range(1, length):
                 chain[:, shorter - 1] = self.grams[shorter][last]
             chains.append(chain)
-            follows.append((at.astype(np.int32), inverse.astype(np.int32)))
-        key = np.concatenate(keys)
+        key = np.concatenate([keys for keys, _, _, _ in contexts])
         order = np.argsort(key)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        done, placed = 0, []
-        for k, (at, inverse) in zip(keys, follows):
-            placed.append((at, rank[done : done + len(k)][inverse]))
-            done += len(k)
         whole = [np.rint(np.concatenate(x)[order] * UNIT).astype(np.int64) for x in (shares, kinds)]
         own = np.concatenate(owns)
         spoken = np.argsort(key[own])
         own = own[order]
         of_own = [np.concatenate(x)[spoken] for x in (counts, ups, chains)]
-        return key[order], *whole, own, *of_own, placed
+        return key[order], *whole, own, *of_own
 
 
 _ASKED = "_part INT, _block INT, _length INT, _keys BINARY, _counts BINARY"
@@ -323,7 +340,7 @@ def _share(parts: int, depth: int, min_count: int, n_tokens: int):
     def run(table: pa.Table) -> pa.Table:
         number = table.column("_block")[0].as_py()
         block = _Block(table, depth, min_count)
-        keys, gain, kinds, own, n, up, chain, _ = block.facts(depth, n_tokens)
+        keys, gain, kinds, own, n, up, chain = block.facts(depth, n_tokens)
         spoken, rows = np.append(0, np.cumsum(own)), []
         for p, a, b in _cut(_part(keys, parts)):
             mine = slice(spoken[a], spoken[b])
@@ -337,7 +354,7 @@ def _share(parts: int, depth: int, min_count: int, n_tokens: int):
 
 def _test(parts: int, depth: int, min_divergence: float):
     """The candidates of a part: which pass, and for the parts of their suffixes, that these are
-    states. What the blocks ask is passed on."""
+    states. What the blocks ask is passed on as places among the candidates of the part."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("_part")[0].as_py()
@@ -345,8 +362,11 @@ def _test(parts: int, depth: int, min_divergence: float):
         def column(name, kind):
             return np.concatenate([expand_numbers(x, kind) for x in table.column(name).to_pylist()])
 
-        asked = table.column("_keys").to_pylist()
-        keys, inverse = np.unique(np.concatenate([_sums(x) for x in asked]), return_inverse=True)
+        asked = [_sums(x) for x in table.column("_keys").to_pylist()]
+        cuts = np.cumsum([0, *map(len, asked)]).tolist()
+        asked = np.concatenate(asked)
+        keys, inverse = np.unique(asked, return_inverse=True)
+        del asked
         share = np.zeros((2, len(keys)), np.int64)
         np.add.at(share[0], inverse, column("_gain", "<i8"))
         np.add.at(share[1], inverse, column("_kinds", "<i8"))
@@ -361,7 +381,8 @@ def _test(parts: int, depth: int, min_divergence: float):
         suffixes = np.unique(chain[chain > 0])
         rows = [(part, None, _steps(keys), squeeze_numbers(kinds), squeeze_numbers(passes.astype("<i4")))]
         rows += [(p, None, _steps(suffixes[a:b]), None, None) for p, a, b in _cut(_part(suffixes, parts))]
-        rows += [(part, b, k, None, None) for b, k in zip(table.column("_block").to_pylist(), asked)]
+        for block, a, b in zip(table.column("_block").to_pylist(), cuts, cuts[1:]):
+            rows.append((part, block, _steps(inverse[a:b].astype(np.uint64)), None, None))
         return _rows(_TESTED, rows)
 
     return run
@@ -381,7 +402,7 @@ def _tell(table: pa.Table) -> pa.Table:
     told = np.where(state, kinds, 0)
     asked = ((r["_block"], _sums(r["_keys"])) for r in rows if r["_block"] is not None)
     return _rows(
-        _TOLD, [(b, part, squeeze_numbers(told[np.searchsorted(keys, k)])) for b, k in asked]
+        _TOLD, [(b, part, squeeze_numbers(told[x.astype(np.int64)])) for b, x in asked]
     )
 
 
@@ -396,7 +417,7 @@ def _score(depth: int, min_count: int, n_tokens: int, n_words: int):
         block = _Block(table, depth, min_count)
         follows, told = [], np.zeros(0, np.int64)
         if depth:
-            follows = block.facts(depth, n_tokens)[-1]
+            follows = block.follows(depth)
             answers = table.filter(table.column("_states").is_valid()).sort_by([("_part", "ascending")])
             parts = [expand_numbers(x, "<i8") for x in answers.column("_states").to_pylist()]
             told = np.concatenate([told, *parts])

@@ -93,6 +93,40 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     assert abs(share[0] - share[1]) < 0.02 and share[0] > 0.9
 
 
+def test_suffix_tree_asks_with_hashes_once():
+    """A part passes on which of its candidates a block asks for by their places, not by hashes, and
+    answers in the order of the questions."""
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.uint64))
+    asked = [known, known[::2], known[:0]]
+    n = len(known)
+
+    def numbers(block, values, kind):
+        return suffix_tree.squeeze_numbers(np.full(len(asked[block]), values, kind))
+
+    rows = []
+    for block, keys in enumerate(asked):
+        mine = n if block == 0 else 0  # this block speaks for all
+        spoken = [np.full(mine, 50, "<i8"), np.full(mine, 100, "<i8"), np.zeros(2 * mine, "<u8")]
+        gain = np.where(np.arange(len(keys)) % 3 == 0, 1 << 22, -(1 << 24)).astype("<i8")
+        whole = [suffix_tree.squeeze_numbers(gain), numbers(block, 1 << 16, "<i8"), numbers(block, block == 0, "<i4")]
+        rows.append((0, block, suffix_tree._steps(keys), *whole, *map(suffix_tree.squeeze_numbers, spoken)))
+    tested = suffix_tree._test(1, 2, 0.02)(suffix_tree._rows(suffix_tree._SHARED, rows))
+    passed = {r["_block"]: r["_keys"] for r in tested.to_pylist() if r["_block"] is not None}
+    assert set(passed) == {0, 1, 2} and sum(map(len, passed.values())) < n
+    told = {
+        r["_block"]: suffix_tree.expand_numbers(r["_states"], "<i8").tolist()
+        for r in suffix_tree._tell(tested).to_pylist()
+    }
+    gain = np.where(np.arange(n) % 3 == 0, 1 << 22, -(1 << 24))
+    gain[::2] += np.where(np.arange(len(asked[1])) % 3 == 0, 1 << 22, -(1 << 24))
+    kinds = np.where(np.arange(n) % 2, 1, 2)
+    passes = gain / 65536 / 50 - np.log(0.5) - (kinds - 1) / 100 >= 0.02
+    want = np.where(passes, kinds, 0)
+    assert 0 < passes.sum() < n
+    assert told == {0: want.tolist(), 1: want[::2].tolist(), 2: []}
+
+
 def test_suffix_tree_beats_single_words(spark, directory):
     rows = queries.QUERIES["op1_suffix_tree_scores"](spark, directory).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MARK = "▁"  # stands for a blank
 MAX_CHARS = 60  # of a word whose boundaries are bits of a number; longer ones are merged by a queue
 GROUP_BYTES = 2 << 20  # of texts that a task looks at together
+PATH_CHARS = 1 << 15  # of words whose best paths are looked for together
 UNKNOWN_PENALTY = 10.0  # below the worst score, as the library has it
 
 
@@ -467,9 +468,19 @@ class Lattice:
 
         Boundaries are reached from left to right, in all words at once; each keeps its best sum and
         the edge that ends there, of equal sums the one that begins first. A character that is no piece
-        is an edge ``UNKNOWN_PENALTY`` below the worst score, and its bytes are its ids.
+        is an edge ``UNKNOWN_PENALTY`` below the worst score, and its bytes are its ids. Some
+        ``PATH_CHARS`` characters of words are looked at together.
         """
         sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(sizes) // PATH_CHARS
+        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=np.iinfo(np.int64).max)).tolist()
+        made = [self.paths_of(words.slice(a, b - a), sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        ids = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in made)])
+        counts = np.concatenate([np.zeros(1, np.int64), *(counts for _, counts in made)])
+        return ids, np.cumsum(counts)
+
+    def paths_of(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the best paths of words, one behind the other, and how many each word has."""
         points = points_of(words)
         begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         word_of = np.repeat(np.arange(len(sizes)), sizes)
@@ -509,8 +520,7 @@ class Lattice:
         chosen = np.concatenate([np.zeros(0, np.int64), *made])
         chosen = chosen[np.argsort(start[chosen])]
         ids, counts = self.ids_of(points, start[chosen], row[chosen])
-        per_word = np.bincount(word_of[start[chosen]], counts, len(sizes)).astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(per_word)])
+        return ids, np.bincount(word_of[start[chosen]], counts, len(sizes)).astype(np.int64)
 
 
 def positions(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:

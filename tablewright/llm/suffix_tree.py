@@ -169,9 +169,12 @@ class _Block:
         self.scored = (uses & SCORES) > 0
         self.learns = np.repeat((uses & LEARNS) > 0, self.per_text)
         self.grams = {1: self.tokens}
-        self.counts = defaultdict(lambda: np.zeros(len(self.tokens), np.int64))
+        # Nothing that the block holds refers to it: it is freed with its last use, and not when Python
+        # happens to look for cycles, which a few large arrays do not bring about.
+        n = len(self.tokens)
+        self.counts = defaultdict(lambda: np.zeros(n, np.int64))
         self.own = {}
-        self.index = defaultdict(lambda: np.zeros(len(self.tokens), np.int32))
+        self.index = defaultdict(lambda: np.zeros(n, np.int32))
         self._distinct, self._at = {}, {1: np.arange(len(self.tokens), dtype=np.int32)}
         if "_counts" in table.column_names:
             heard = table.filter(table.column("_counts").is_valid())

@@ -1,12 +1,16 @@
 """Operators against plain versions, against SQL, and by what they must leave unchanged."""
 
+import gc
 import random
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
+    blocks,
     chat,
     html_text,
     language_id,
@@ -127,6 +131,24 @@ def test_suffix_tree_asks_with_hashes_once():
     assert told == {0: want.tolist(), 1: want[::2].tolist(), 2: []}
 
 
+def test_suffix_tree_frees_a_block_with_its_last_use():
+    """A task goes through many blocks, and none of them may wait for Python to look for cycles."""
+    rows = pa.table({"_id": [1], "_text": [b"a b a b"], "_use": pa.array([3], pa.int32())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    blob = blocks.squeeze(sink.getvalue().to_pybytes())
+    gc.disable()
+    try:
+        block = suffix_tree._Block(pa.table({"_block": [0], "_blob": [blob]}), 2, 1)
+        assert len(block.tokens) == len(block.counts[1]) == len(block.index[1]) == 5
+        alive = weakref.ref(block)
+        del block
+        assert alive() is None
+    finally:
+        gc.enable()
+
+
 def test_suffix_tree_beats_single_words(spark, directory):
     rows = queries.QUERIES["op1_suffix_tree_scores"](spark, directory).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -8,8 +8,8 @@ clause takes stays as it is (a source row that no clause takes is not inserted).
 Keys are compared for equality, so a NULL in a key meets nothing. Rows with such a key, however many,
 are not shuffled for the join. The target is the left side of an outer join: a small source is
 broadcast by size and the target then stays where it is, and a hot key of a large one is split. Which
-source rows meet nothing is asked of the keys alone, in as many tasks as the session has shuffle
-partitions: what a task holds there is that share of the keys.
+source rows meet nothing, and which keys repeat, is asked of the keys alone, in as many tasks as the
+session has shuffle partitions: what a task holds there is that share of the keys.
 """
 
 from __future__ import annotations
@@ -144,6 +144,20 @@ def _keys_of(side: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(~_any_null(side, keys)).select(*(_of(side, k).alias(k) for k in keys))
 
 
+def _spread_keys_of(side: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys in all shuffle partitions. Alone they are so small when shuffled that Spark would put
+    millions of them into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _keys_of(side, df, keys).repartition(n, *map(quoted, keys))
+
+
+def repeated_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that several rows of ``source`` have, and how many rows."""
+    spread = _spread_keys_of(SOURCE, _side(source, SOURCE), keys)
+    counted = spread.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias(MET))
+    return counted.where(F.col(MET) > 1)
+
+
 def changed_rows(target: DataFrame, source: DataFrame, merge: Merge) -> DataFrame:
     """``__action`` (kept, updated, deleted) and ``__row`` of every row of ``target``.
 
@@ -158,17 +172,15 @@ def changed_rows(target: DataFrame, source: DataFrame, merge: Merge) -> DataFram
     _stored(meeting, schema, (*merge.matched, *merge.not_matched_by_source), source)
     if not merge.matched:
         # Nothing happens to rows that meet others, and they stay one each.
-        distinct = _keys_of(SOURCE, s, keys).distinct().withColumn(MET, F.lit(True)).alias(SOURCE)
+        distinct = _spread_keys_of(SOURCE, s, keys).distinct().withColumn(MET, F.lit(True)).alias(SOURCE)
         meeting = t.join(distinct, _same(keys), "left")
     met = _of(SOURCE, MET).isNotNull()
     matched_action, matched_row = _chosen(merge.matched, met, source, schema)
     other_action, other_row = _chosen(merge.not_matched_by_source, ~met, source, schema)
     row = F.when(met, matched_row).otherwise(other_row)
     if merge.matched:
-        repeated = (
-            _keys_of(SOURCE, s, keys).groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias(MET))
-        )
-        several = t.join(repeated.where(F.col(MET) > 1).alias(SOURCE), _same(keys), "left_semi")
+        repeated = repeated_keys(source, keys).alias(SOURCE)
+        several = t.join(repeated, _same(keys), "left_semi")
         n = several.select(F.count(F.lit(1))).scalar()
         row = F.when((n > 0) & met, F.raise_error(F.lit(AMBIGUOUS))).otherwise(row)
     return meeting.select(
@@ -182,10 +194,7 @@ def added_rows(target: DataFrame, source: DataFrame, merge: Merge) -> DataFrame:
     t, s, keys = _sides(target, source, merge)
     schema = target.schema
     _stored(s, schema, merge.not_matched, source)
-    # Keys alone are so small when shuffled that Spark would put millions of them into one task.
-    n = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = _keys_of(SOURCE, s, keys).repartition(n, *map(quoted, keys))
-    wanted = spread.distinct().alias(SOURCE)
+    wanted = _spread_keys_of(SOURCE, s, keys).distinct().alias(SOURCE)
     met_keys = _keys_of(TARGET, t.join(wanted, _same(keys), "left_semi"), keys).distinct()
     new = (
         s.where(~_any_null(SOURCE, keys))

@@ -15,6 +15,7 @@ from tablewright.operators.merge import (
     added_rows,
     merge_rows,
     merged_rows,
+    repeated_keys,
 )
 from tablewright.session import isolated_session
 from tests.conftest import rows
@@ -158,3 +159,12 @@ def test_keys_are_not_gathered_into_few_tasks(spark):
     assert len(per_task) == 8 and max(r.n for r in per_task) < 2 * (10000 + 3333) / 8
     ids = {r[0] for r in added.select("__row.id").collect()}
     assert ids == {i for i in range(0, 60000, 3) if i % 2 or i >= 40000}
+
+
+def test_repeated_keys_are_counted_in_all_tasks(spark):
+    """The count of the keys, as small as they are when shuffled, stays in all shuffle partitions."""
+    source = spark.range(20000).selectExpr("IF(id % 200 = 7, NULL, id div 2) AS id", "1D AS amount")
+    repeated = repeated_keys(source, ["id"])
+    per_task = repeated.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(per_task) == 8 and max(r.n for r in per_task) < 2 * 9900 / 8
+    assert {tuple(r) for r in repeated.collect()} == {(i, 2) for i in range(10000) if i % 100 != 3}

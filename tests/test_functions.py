@@ -198,6 +198,21 @@ def test_pairs_of_keys_with_few_rows_are_bounded(spark):
     assert max(r.n for r in tasks) < 3_500_000
 
 
+@pytest.mark.parametrize("kind", ["INT", "BIGINT"])
+def test_copies_for_the_grid_are_shuffled(spark, kind):
+    """A few rows become many copies; their size in a file would let Spark broadcast them."""
+    left = spark.range(40000).selectExpr(f"CAST(id % 2 AS {kind}) AS k", "id AS x")
+    right = spark.range(400).selectExpr("id % 2 AS m", "id AS y")
+    joined = full_outer_join(left, right, [("k", "m")])
+    joins = [line for line in plan(joined).split("\n") if "Join" in line and "__left_salt" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    tasks = joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in tasks) == 2 * 20000 * 200
+    assert max(r.n for r in tasks) < 3_500_000
+    sums = [joined.where("k = m").agg(F.sum(c)).first()[0] for c in "xy"]
+    assert sums == [200 * sum(range(40000)), 20000 * sum(range(400))]
+
+
 def test_reached(spark):
     links = [(i, i + 1) for i in range(30)] + [(0, 10), (5, 5), (None, 3), (3, None), (50, 51), (31, 0)]
     df = spark.createDataFrame(links, "source INT, target INT")
